@@ -18,7 +18,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         pairs = pairs.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    #: Settled, so that the join has exchanges of its own, which can be split at a hot node.
+    least = settle(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     met = pairs.join(least, "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))

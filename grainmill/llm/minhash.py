@@ -13,9 +13,10 @@ Steps, none of which emits all pairs of a group or collects one:
 2. Buckets of a band are stars: every member is checked against the smallest one.
    Confirmed stars are joined into components.
 3. Buckets that still hold several components are searched in blocks of bounded size:
-   pairs from different components whose signatures agree in half the values (6.5
-   standard deviations under 0.75) are checked too. That leaves no link out that
-   would join two components.
+   pairs from different components whose signatures agree in 72 of the 128 values are
+   checked on their full sets within the task, and only links that join components leave
+   it. So no link that joins two components is left out, and what is emitted stays in
+   proportion to the members.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Members of a bucket that meet in one task.
 BLOCK = 2048
-#: Signature values that must agree before a pair of step 3 is checked exactly.
-AGREE = 64
+BLOCK_SHINGLES = 1 << 21
+#: Signature values that must agree before a pair of step 3 is checked exactly: 4.9
+#: standard deviations under 0.75 of them all.
+AGREE = 72
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -126,42 +129,90 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _alike(x: int, r: np.ndarray, root: np.ndarray, size: np.ndarray, sig: np.ndarray, bands: np.ndarray, bucket: int, percent: int) -> np.ndarray:
+    """Of the members r those that x must be checked against in this bucket."""
+    r = r[root[r] != root[x]]
+    r = r[100 * np.minimum(size[r], size[x]) >= percent * np.maximum(size[r], size[x])]
+    if len(r):
+        r = r[(sig[r] == sig[x]).sum(axis=1) >= AGREE]
+    if len(r):
+        r = r[bands[x][(bands[r] == bands[x]).argmax(axis=1)] == bucket]  # elsewhere an earlier band has the pair
+    return r
+
+
+def _sides(side: np.ndarray, i: int, j: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of block i with those of block j that come after it."""
+    left = np.flatnonzero(side == 0)
+    right = left if i == j else np.flatnonzero(side == 1)
+    for k, x in enumerate(left):
+        yield x, right[k + 1 :] if i == j else right
+
+
 def _search(percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """Pairs of one block pair of a bucket: rows hold side 0 (block i) and side 1 (block j)."""
+        """The members of a block pair that have a partner to be checked against."""
         bucket, i, j = (x.as_py() for x in key)
-        side = table.column("side").to_numpy()
-        node, root, size = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+        table = table.sort_by("node")
+        side, root, size = (table.column(c).to_numpy() for c in ("side", "root", "n"))
         sig = _rows_of(table.column("sig").combine_chunks())
         bands = band_keys(sig)
-        left = np.flatnonzero(side == 0)
-        right = left if i == j else np.flatnonzero(side == 1)
-        out_a, out_b = [], []
-        for x in left:
-            r = right[node[right] > node[x]] if i == j else right
-            r = r[root[r] != root[x]]
-            r = r[100 * np.minimum(size[r], size[x]) >= percent * np.maximum(size[r], size[x])]
+        keep = np.zeros(len(side), bool)
+        for x, r in _sides(side, i, j):
+            r = _alike(x, r, root, size, sig, bands, bucket, percent)
             if len(r):
-                r = r[(sig[r] == sig[x]).sum(axis=1) >= AGREE]
-            if len(r):
-                same = bands[r] == bands[x]
-                r = r[bands[x][same.argmax(axis=1)] == bucket]  # elsewhere an earlier band has the pair
-                out_a += [int(node[x])] * len(r)
-                out_b += node[r].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+                keep[x] = keep[r] = True
+        return table.select(["bucket", "i", "j", "side", "node", "root"]).filter(pa.array(keep))
+
+    return run
+
+
+def _settle_block(percent: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Links, confirmed on full sets, that join components of a block pair."""
+        bucket, i, j = (x.as_py() for x in key)
+        table = table.sort_by("node")
+        side, node = table.column("side").to_numpy(), table.column("node").to_pylist()
+        _, root = np.unique(table.column("root").to_numpy(), return_inverse=True)
+        sets = [s for _, part in shingle_sets(table.column("text")) for s in part]
+        size = np.array([len(s) for s in sets], np.int64)
+        sig = signatures(sets)
+        bands = band_keys(sig)
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum(size)])
+        marked = np.zeros(int(flat.max()) + 1, bool)
+        links = []
+        for x, r in _sides(side, i, j):
+            r = _alike(x, r, root, size, sig, bands, bucket, percent)
+            if not len(r):
+                continue
+            marked[flat[first[x] : first[x + 1]]] = True
+            for y in r:
+                both = int(np.count_nonzero(marked[flat[first[y] : first[y + 1]]]))
+                if root[x] != root[y] and 100 * both >= percent * (size[x] + size[y] - both):
+                    links.append((node[x], node[y]))
+                    root[root == root[y]] = root[x]
+            marked[flat[first[x] : first[x + 1]]] = False
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _rest(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components in buckets that hold several."""
-    rooted = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    open_ = rooted.groupBy("bucket").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = rooted.join(open_, "bucket").join(nodes.select("node", "n", "sig"), "node")
+def _rest(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between different components in buckets that hold several.
+
+    A bucket is dealt out in blocks of bounded members and shingles. Block pairs are first
+    searched by signature; only members with a partner to be checked then bring their texts.
+    """
+    rooted = buckets.join(roots, "node", "left").join(nodes.select("node", "n"), "node").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    open_ = rooted.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("sum"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    open_ = open_.select("bucket", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("sum") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = rooted.join(open_, "bucket").join(nodes.select("node", "sig"), "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "node", "root", "n", "sig")
-    return rows.groupBy("bucket", "i", "j").applyInArrow(_search(percent), "a long, b long")
+    met = rows.groupBy("bucket", "i", "j").applyInArrow(_search(percent), "bucket long, i int, j int, side int, node long, root long")
+    return met.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(_settle_block(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -186,12 +237,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     texts = settle(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text").mapInArrow(_own_text, "node long, text string"), "texts")
     found = settle(confirm(pairs, texts, percent), "links")
     roots = settle(components(found), "roots")
-    more = settle(confirm(_rest(shared.select("bucket", "node"), nodes, roots, percent), texts, percent), "links")
+    more = settle(_rest(shared.select("bucket", "node"), nodes, roots, texts, percent), "links")
     if not more.isEmpty():
         roots = settle(components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
     drop_settled(pairs, texts, shared, found, more, nodes)
     of = narrow.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("class"))
-    least = of.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1").drop("size")
+    #: Settled, so that the join has exchanges of its own, which can be split where a class is large.
+    least = settle(of.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1").drop("size"), "classes")
     out = of.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
