@@ -114,21 +114,26 @@ class _Source:
         #: Draws: blocks of whole passes, and those of the part, the last of which may be cut.
         self.quota = self.passes * self.blocks + -(-self.part // BLOCK)
 
-    def draws(self, first: int, last: int) -> list[tuple[int, int, int, int]]:
-        """(position in drawing order, pass, from word, to word) of the blocks that hold words [first, last)."""
-        if last <= first:
-            return []
-        blocks = np.arange(first // BLOCK, (last - 1) // BLOCK + 1)
+    def draws(self, first: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """What the mix takes of documents that hold words [first, first + size) of the line.
+
+        Columns: index of the document, position in drawing order, pass, from word, to word.
+        """
+        some = np.flatnonzero(size > 0)
+        begin, end = first[some], first[some] + size[some]
+        count = (end - 1) // BLOCK - begin // BLOCK + 1
+        of = np.repeat(np.arange(len(some)), count)
+        block = begin[of] // BLOCK + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         out = []
         for p in range(self.passes + (self.part > 0)):
-            # the short block at the end of the line is drawn last
-            at = np.where(blocks < self.full, permuted(np.minimum(blocks, max(0, self.full - 1)), max(1, self.full), self.key + p) if self.full else 0, self.full)
-            for b, k in zip(blocks.tolist(), at.tolist(), strict=True):
-                words = BLOCK if p < self.passes else min(BLOCK, self.part - k * BLOCK)
-                lo, hi = max(first, b * BLOCK), min(last, b * BLOCK + words)
-                if hi > lo:
-                    out.append((p * self.blocks + k, p, lo - first, hi - first))
-        return out
+            at = np.full(len(block), self.full)  # the short block at the end of the line is drawn last
+            whole = block < self.full
+            at[whole] = permuted(block[whole], self.full, self.key + p)
+            words = BLOCK if p < self.passes else np.minimum(BLOCK, self.part - at * BLOCK)
+            lo, hi = np.maximum(begin[of], block * BLOCK), np.minimum(end[of], block * BLOCK + words)
+            got = hi > lo
+            out.append(np.stack([some[of], p * self.blocks + at, np.full(len(at), p), lo - begin[of], hi - begin[of]])[:, got])
+        return list(np.concatenate(out, axis=1)) if out else [np.zeros(0, np.int64)] * 5
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,23 +174,30 @@ def draws(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float =
     base = ran.groupBy("part", "source").agg(F.sum("size").alias("words"))
     base = base.withColumn("base", F.sum("words").over(Window.partitionBy("source").orderBy("part")) - F.col("words")).select("part", F.col("source").alias("of"), "base")
     placed = ran.join(base, (ran["part"] == base["part"]) & ran["source"].eqNullSafe(base["of"])).select("row", "doc_id", "source", "size", (F.col("before") + F.col("base")).alias("first"))
-    kind = pa.list_(pa.struct([("shard", pa.int32()), ("at", pa.int64()), ("pass", pa.int32()), ("from_word", pa.int64()), ("to_word", pa.int64())]))
+
+    fields = [("shard", pa.int32()), ("at", pa.int64()), ("pass", pa.int32()), ("from_word", pa.int64()), ("to_word", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes_, targets, taken, drawn = [], [], [], []
-            for source, size, first in zip(*(batch.column(c).to_pylist() for c in ("source", "size", "first")), strict=True):
-                whole, target, k = known[source]
-                got = sources[source].draws(first, first + size)
-                where = np.searchsorted(ends[:, k], [d[0] for d in got], side="right").tolist() if got else []
-                orders = mix(np.array([d[0] for d in got], U64) + U64(sources[source].key)).view(np.int64).tolist() if got else []
-                sizes_.append(whole)
-                targets.append(target)
-                taken.append(sum(d[3] - d[2] for d in got))
-                drawn.append([{"shard": s, "at": at, "pass": d[1], "from_word": d[2], "to_word": d[3]} for s, at, d in zip(where, orders, got, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("size"), pa.array(sizes_, pa.int64()), pa.array(targets, pa.float64()), pa.array(taken, pa.int64()), pa.array(drawn, kind)], ["row", "doc_id", "size", "source_size", "target", "taken", "draws"])
-
-    return placed.mapInArrow(run, "row long, doc_id long, size long, source_size long, target double, taken long, draws array<struct<shard:int,at:long,pass:int,from_word:long,to_word:long>>")
+            size, first = batch.column("size").to_numpy(), batch.column("first").to_numpy()
+            names = batch.column("source").to_pylist()
+            rank = np.array([known[x][2] for x in names], np.int64)
+            found = [np.zeros((6, 0), np.int64)]
+            for name in dict.fromkeys(names):
+                rows, k = np.flatnonzero(rank == known[name][2]), known[name][2]
+                doc, q, turn, lo, hi = sources[name].draws(first[rows], size[rows])
+                shard = np.searchsorted(ends[:, k], q, side="right")
+                at = mix(q.astype(U64) + U64(sources[name].key)).view(np.int64)
+                found.append(np.stack([rows[doc], shard, at, turn, lo, hi]))
+            got = np.concatenate(found, axis=1)
+            got = got[:, np.lexsort((got[4], got[3], got[0]))]
+            taken = np.bincount(got[0], weights=got[5] - got[4], minlength=len(size)).astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(got[0], minlength=len(size)))]).astype(np.int32)
+            items = pa.StructArray.from_arrays([pa.array(got[i + 1].astype(kind_.to_pandas_dtype())) for i, (_, kind_) in enumerate(fields)], [f for f, _ in fields])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("size"), pa.array([known[x][0] for x in names], pa.int64()), pa.array([known[x][1] for x in names], pa.float64()), pa.array(taken), pa.ListArray.from_arrays(pa.array(offsets), items)], ["row", "doc_id", "size", "source_size", "target", "taken", "draws"])
+
+    # dealt out anew: rows are narrow, but each is worked on for as long as it has blocks
+    return placed.repartition(parts, "row").mapInArrow(run, "row long, doc_id long, size long, source_size long, target double, taken long, draws array<struct<shard:int,at:long,pass:int,from_word:long,to_word:long>>")
 
 
 _WORD = regex.compile(WORD)
