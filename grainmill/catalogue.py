@@ -104,8 +104,9 @@ def q_neighbour_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sampled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three features of every document, -1 where no byte is sampled."""
     f = F.col("features")
-    return sampled.with_sketch(documents(spark, sf_dir), bits=SKETCH_BITS).select("item_id", *[f[k].alias(f"feature_{k}") for k in range(3)])
+    return sampled.with_sketch(documents(spark, sf_dir), bits=SKETCH_BITS).select("item_id", *[F.coalesce(f[k], F.lit(-1)).alias(f"feature_{k}") for k in range(3)])
 
 
 def q_sketch_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,7 +407,7 @@ def oracle_sql() -> dict[str, str]:
     low = [c & 0xFFFFFFFF for c in sampled.FACTORS]
     features = ", ".join(f"min((({c}::hugeint * v + b) % 4294967296)::bigint) filter (v % {1 << SKETCH_BITS} = 0) as feature_{k}" for k, c in enumerate(low))
     sketch = f"with {_rolling_sql(32)} , found as (select doc_id as item_id, feature_0, feature_1, feature_2 from documents left join (select item_id, {features} from fp group by 1) on item_id = doc_id)"
-    sql["q_sampled_sketch"] = f"{sketch} select * from found"
+    sql["q_sampled_sketch"] = f"{sketch} select item_id, coalesce(feature_0, -1) as feature_0, coalesce(feature_1, -1) as feature_1, coalesce(feature_2, -1) as feature_2 from found"
     sql["q_sketch_neighbours"] = f"{sketch} select item_id, feature_2 + 1 as next_low, feature_2 - 1 as last_low from found where feature_2 is not null"
     step = shingle.WORD * shingle.WORDS
     sql["q_shingle_jaccard"] = f"""
