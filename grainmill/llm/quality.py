@@ -197,7 +197,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", s
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs whose text the classifier doesn't reject, with all their columns."""
-    own = docs.select("*", F.monotonically_increasing_id().alias("__row"))
     net = train(*training_rows(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), "quality", options.get("sample", SAMPLE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,4 +214,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
                 keep.append(bool(net.score(mean, most)[0] >= THRESHOLD))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return own.drop("__row").mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
