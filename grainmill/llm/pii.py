@@ -21,16 +21,19 @@ from pyspark.sql import DataFrame
 ROUNDS = 8
 KINDS = ("mail", "iban", "card", "ssn", "phone", "ip", "date")
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-_FIND = re.compile(
-    r"(?P<mail>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-]))"
+_BEFORE = (
+    r"(?P<mail>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w]|[./-]\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<!\w)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)(?!\w))"
-    r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w))"
 )
-_LIKELY = re.compile(r"[0-9@]")
+_RUN = r"|(?P<run>(?<!\w)\d(?:[ -]?\d){12,}(?!\w|[./]\d))"
+_AFTER = r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w))"
+_FIND, _REST = re.compile(_BEFORE + _RUN + _AFTER, re.ASCII), re.compile(_BEFORE + _AFTER, re.ASCII)
+_LIKELY, _GROUP, _MARK = re.compile(r"[0-9@]"), re.compile(r"[0-9]+"), re.compile(r"[^0-9]")
+#: Lengths of the groups in which card numbers of several groups are written.
+CARD_GROUPS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 1))
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -153,24 +156,78 @@ def _mail(text: str, key: bytes) -> str | None:
     return f"{_mixed(local, key, 'mail')}@{domain}"
 
 
-_WRITE = {"mail": _mail, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
+_WRITE = {"mail": _mail, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
+
+
+def _windows(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Places written like a card number among the groups of digits from `start` to `end`, by start, longest first."""
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    for i, (a, b) in enumerate(groups):
+        for sizes in CARD_GROUPS:
+            part = groups[i : i + len(sizes)]
+            marks = {text[y] for _, y in part[:-1]}
+            if sizes[-1] < 4 and part[-1][1] < end:
+                marks.add(text[part[-1][1]])  # a short tail tied to more digits by another mark belongs to those
+            if tuple(y - x for x, y in part) == sizes and len(marks) == 1:
+                yield a, part[-1][1]
+        if 13 <= b - a <= 19:
+            yield a, b
+
+
+def _cards(text: str, start: int, end: int, key: bytes) -> list[tuple[int, int, str | None]]:
+    """(start, end, new text) of the card numbers in a run of digits, and without a new text of what only looks like one."""
+    digits, marks = len(_digits(text[start:end])), set(_MARK.findall(text, start, end))
+    if digits <= 19 and len(marks) < 2 and (new := _card(text[start:end], key)):
+        return [(start, end, new)]
+    found, at = [], start
+    for a, b in _windows(text, start, end):
+        if a >= at and (new := _card(text[a:b], key)):
+            found.append((a, b, new))
+            at = b
+    gaps = zip([start, *(b for _, b, _ in found)], [*(a for a, _, _ in found), end], strict=True)
+    for lo, hi in list(gaps):
+        at = lo
+        for a, b in _windows(text, lo, hi):
+            if a >= at:
+                found.append((a, b, None))
+                at = b
+    return sorted(found, key=lambda w: w[:2])
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
-    """The text with pseudonyms, and how many of each kind."""
+    """The text with pseudonyms, and how many of each kind.
+
+    A run of digits may hold several numbers: cards are taken out of it first, and what is
+    written like a card but isn't valid stays; the rest is searched for the other kinds.
+    """
     counts: dict[str, int] = {}
     if not _LIKELY.search(text):
         return text, counts
-
-    def write(m: re.Match) -> str:
-        kind = m.lastgroup
-        new = _WRITE[kind](m[0], key)
-        if new is None:
-            return m[0]
-        counts[kind] = counts.get(kind, 0) + 1
-        return new
-
-    return _FIND.sub(write, text), counts
+    out: list[str] = []
+
+    def walk(find: re.Pattern, start: int, end: int) -> None:
+        at = start
+        for m in find.finditer(text, start, end):
+            out.append(text[at : m.start()])
+            kind, at = m.lastgroup, m.end()
+            if kind == "run":
+                done = m.start()
+                for a, b, new in _cards(text, done, at, key):
+                    walk(_REST, done, a)
+                    write("card", text[a:b], new)
+                    done = b
+                walk(_REST, done, at)
+            else:
+                write(kind, m[0], _WRITE[kind](m[0], key))
+        out.append(text[at:end])
+
+    def write(kind: str, old: str, new: str | None) -> None:
+        if new is not None:
+            counts[kind] = counts.get(kind, 0) + 1
+        out.append(old if new is None else new)
+
+    walk(_FIND, 0, len(text))
+    return "".join(out), counts
 
 
 def pseudonyms(docs: DataFrame, key: bytes = b"grainmill-pseudonyms") -> DataFrame:

@@ -238,6 +238,16 @@ def test_pseudonyms(spark):
     assert more == counts and again != new
     for clean in ("4111111111111112 and 999.1.1.1 and 2023-02-30", "no numbers here", "", "1.2.3.4.5 v1.2.3"):
         assert pii.pseudonymise(clean, key) == (clean, {})
+    card, phone = pii.pseudonymise("4111111111111111", key)[0], pii.pseudonymise("555-123-4567", key)[0]
+    spaced = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    for form, written, kinds in (
+        ("{c} {c}", "{c} {c}", {"card": 2}), ("12 {s}", "12 {s}", {"card": 1}), ("9998 {s} 12", "9998 {s} 12", {"card": 1}), ("{p} {s}-7", "{p} {s}-7", {"card": 1, "phone": 1}),
+        ("{p} {p}", "{p} {p}", {"phone": 2}), ("\u00e9{c}\u5b57", "\u00e9{c}\u5b57", {"card": 1}), ("4111 1111 1111 1112 {p}", "4111 1111 1111 1112 {p}", {"phone": 1}), ("{c} 10.2.3.4.5", "{c} 10.2.3.4.5", {"card": 1}),
+    ):
+        given = form.format(c="4111111111111111", s="4111 1111 1111 1111", p="555-123-4567")
+        assert pii.pseudonymise(given, key) == (written.format(c=card, s=spaced, p=phone), kinds), given
+    for long in ("a%" * 200_000, "1 2 " * 100_000, "4111 " * 40_000, "a." * 200_000, "x@" + "a-" * 200_000, "7" * 200_000):
+        assert pii.pseudonymise(long, key)[1].keys() <= {"card"}
     assert sorted(pii.permute(i, 1000, key, "t") for i in range(1000)) == list(range(1000))
     found = pii.pseudonyms(docs_of(spark, [(1, text, "a"), (2, None, "a"), (3, "", None), (3, "", None), (None, "x", "a")]), key).collect()
     assert {(r["doc_id"], r["text"], r["n_replaced"]) for r in found} == {(1, new, 9), (2, None, 0), (3, "", 0), (None, "x", 0)} and len(found) == 5
