@@ -156,8 +156,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), pa.array(weight, pa.binary())], ["doc_id", "y", "data", "weight"])
 
     texts = docs.join(known, "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), "text")
-    rows = texts.mapInArrow(run, "doc_id long, y int, data binary, weight binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["data"])))
+    rows = texts.mapInArrow(run, "doc_id long, y int, data binary, weight binary")
+    # rows that repeat a doc_id count once, so `sample` bounds what the driver gets
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("data", "weight", "y")).alias("one")).select("doc_id", "one.*").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return [np.frombuffer(r["data"], np.int16).reshape(-1, CHUNK) for r in rows], [np.frombuffer(r["weight"], np.float32) for r in rows], np.array([r["y"] for r in rows], np.float32)
 
 
