@@ -8,7 +8,8 @@ bounds and stops as soon as the next bound is below the k-th score so far, which
 starts from the scores against the pivots themselves. So the result is exact.
 
 Queries go out in blocks of bounded size; each block is one pass over the table, in which
-every task returns its best k for each query.
+every task returns its best k for each query, and its result is written before the next begins, so
+plan and driver stay small however many blocks there are.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.session import settle
+from grainmill.session import settle, shared_path
 
 PIVOTS, SAMPLE, QUERY_BLOCK, ROW_BLOCK = 48, 2048, 4096, 8192
-#: Components up to this keep inner products of 2^20 dimensions exact in 64 bits.
-LARGEST = 1 << 21
+#: Components up to this keep inner products of 2047 dimensions exact in 64 bits.
+LARGEST = 1 << 26
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -63,7 +64,7 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
 def quantised(vectors: DataFrame) -> DataFrame:
     """vec_id and q, the components as floor(256 x); only rows that take part.
 
-    Vectors that are null or empty, or hold null, non-finite or (beyond 2^21) unquantisable components, and
+    Vectors that are null or empty, or hold null, non-finite or (beyond 2^26) unquantisable components, and
     rows without vec_id take no part. Shorter vectors count as padded with zeros.
     """
     q = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")))
@@ -90,21 +91,16 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     chosen = choose_pivots(rows, PIVOTS)
     pivots, pivot_ids = rows[chosen], np.array([sample[i]["vec_id"] for i in chosen], np.int64)
     asked = settle(table.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("q").alias("q")), "queries")
-    # blocks of queries by ranges of vec_id: a counter over files of bounded size would need a sort anyway
+    # blocks are ranges of vec_id between rough quantiles, so each holds at most 1.5 times QUERY_BLOCK queries
     total = asked.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
-    cuts = [None, *(asked.approxQuantile("vec_id", [i / blocks for i in range(1, blocks)], 0.0) if blocks > 1 else []), None]
-    found = []
+    cuts = [None, *(asked.approxQuantile("vec_id", [i / blocks for i in range(1, blocks)], 0.25 / blocks) if blocks > 1 else []), None]
+    path = shared_path(spark, "top")
     for lo, hi in zip(cuts, cuts[1:], strict=False):
-        part = asked.where((F.lit(True) if lo is None else F.col("vec_id") > lo) & (F.lit(True) if hi is None else F.col("vec_id") <= hi)).collect()
+        part = asked.where((F.lit(True) if lo is None else F.col("vec_id") > int(lo)) & (F.lit(True) if hi is None else F.col("vec_id") <= int(hi))).collect()
         if part:
-            found.append(_block(table, part, pivots, pivot_ids, dims, k))
-    if not found:
-        return empty
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+            _block(table, part, pivots, pivot_ids, dims, k).write.mode("append").parquet(path)
+    return spark.read.schema(empty.schema).parquet(path) if total else empty
 
 
 def _block(table: DataFrame, part: list, pivots: np.ndarray, pivot_ids: np.ndarray, dims: int, k: int) -> DataFrame:
@@ -129,7 +125,8 @@ def _block(table: DataFrame, part: list, pivots: np.ndarray, pivot_ids: np.ndarr
                     for p in range(len(pivots)):
                         np.maximum(low, np.abs(by_pivot[part_, p][:, None] - there[None, :, p]), out=low)
                     low = np.maximum(low - 1e-6 * (1 + low), 0)  # rounding never makes a bound too tight
-                    high = (square[part_][:, None] + size[None, :] - low * low) / 2 + 0.5
+                    both = square[part_][:, None] + size[None, :]
+                    high = (both * (1 + 1e-9) - low * low) / 2 + 0.5
                     for i in range(a, part_.stop):
                         _evaluate(i, high[i - a], x, own, asks, ids, best, floor, k)
         out = [(int(ids[i]), v, s) for i, found in enumerate(best) for s, v in found]

@@ -208,9 +208,12 @@ def test_split_quotas_and_permutation():
 VECTORS = "vec_id long, embedding array<float>, label int, q string, score long"
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("block", [topk.QUERY_BLOCK, 3])
+def test_top_k(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(400)]
+    rows += [(3000 + i, (rng.normal(size=8) * 1e5).round(2).clip(-2e5, 2e5).tolist()) for i in range(60)]
     rows += [(1000 + i, rows[3][1]) for i in range(30)] + [(2000, None), (2050, [1.0, None]), (2100, [float("nan")]), (2150, [float("inf")] * 8), (2200, []), (2250, rows[7][1][:3]), (None, rows[1][1]), (50, rows[50][1])]
     found = topk.top_k(spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], VECTORS)).collect()
     q = {}
