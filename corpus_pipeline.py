@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grainmill.llm.bpe import encode_digests
 from grainmill.llm.entry import TOKENIZER
-from grainmill.llm.exactdedup import exact_duplicates
+from grainmill.llm.exactdedup import without_duplicates
 from grainmill.llm.minhash import near_duplicates
 from grainmill.llm.mixing import mix_documents
 from grainmill.llm.quality import keep_good
@@ -26,14 +26,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id").groupBy("doc_id").count().select("doc_id")
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").select(COLUMNS)
+    return without_duplicates(docs.select(COLUMNS))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of near duplicates."""
+    """The smallest doc_id of each component of near duplicates; a row without doc_id can't be named and stays."""
     kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").select(COLUMNS)
+    named = docs.select(COLUMNS).join(kept, "doc_id", "left_semi").select(COLUMNS)
+    return named.unionByName(docs.select(COLUMNS).where("doc_id is null"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,3 +101,20 @@ def exact_duplicates(docs: DataFrame, fan: int | None = None, rounds: int | None
         F.coalesce(F.col("keep_row") == F.col("row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns.
+
+    Which stay is said by `exact_duplicates`; rows are found again by doc_id and digest, so a
+    row without doc_id stays where its text has no other. Of rows that repeat both, the smallest
+    by all columns stays, which therefore must be sortable.
+    """
+    found = exact_duplicates(docs).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept")
+    kept = settle(found.groupBy("doc_id", "sha").agg(F.max("kept").alias("kept"), F.count("*").alias("times")).where("kept").select("doc_id", "sha", "times"), "kept")
+    sha = F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), sha.alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("sha"))
+    once = rows.join(kept.where("times = 1"), same, "left_semi").select("row.*")
+    often = rows.join(kept.where("times > 1"), same, "left_semi").groupBy("id", "digest").agg(F.min("row").alias("row")).select("row.*")
+    return once.unionByName(often)

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer as Reference
 from grainmill.llm import entry, mixing, pii, quality, topk, warc
 from grainmill.llm.bpe import Tokenizer, decode, encode, encode_digests
 from grainmill.llm.components import components
-from grainmill.llm.exactdedup import exact_duplicates
+from grainmill.llm.exactdedup import exact_duplicates, without_duplicates
 from grainmill.llm.minhash import near_duplicates
 from grainmill.llm.tokencount import scan_token_files, token_counts, write_token_files
 from grainmill.session import shared_path
@@ -53,6 +53,20 @@ def test_exact_dedup(spark, odd):
         assert [r["doc_id"] for r in rows if r["kept"]] == [least]
 
 
+def test_without_duplicates(spark, odd):
+    docs = docs_of(spark, odd)
+    found = without_duplicates(docs)
+    norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+    want = {}
+    for i, t, _ in odd:
+        key = norm(t)
+        want[key] = i if want.get(key) is None else want[key] if i is None else min(i, want[key])
+    assert found.columns == docs.columns
+    got = [(norm(r["text"]), r["doc_id"]) for r in found.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert without_duplicates(docs_of(spark, [(None, "p", "a"), (None, "p", "b"), (None, "q", "a")])).count() == 2
+
+
 def brute_near(rows, percent=75):
     sets = {}
     for k, (_, t, _) in enumerate(rows):
