@@ -130,6 +130,14 @@ def q_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(spark, sf_dir).select("arrival", "sim_hash", "cluster_id")
 
 
+def q_incremental_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that arrive at even numbers, then the others, which meet the leaders of the first run."""
+    every = points(spark, sf_dir)
+    first = settle(cluster.leader_clusters(every.where("arrival % 2 = 0")), "clusters")
+    then = cluster.leader_clusters(every.where("arrival % 2 <> 0"), known=first.select(F.col("cluster_id").alias("key")).distinct())
+    return first.unionByName(then).select("arrival", "sim_hash", "cluster_id")
+
+
 def q_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.islands(points(spark, sf_dir).select(F.col("sim_hash").alias("key")))
 
@@ -206,6 +214,14 @@ def q_restore_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.read(kept, recipes).select("file_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def q_incremental_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a store that half of the documents, and then all, went into."""
+    docs, plan = files(spark, sf_dir), SimilarityPipeline(sizes=CHUNKS)
+    held, _ = plan.scrub(docs.where("file_id % 2 = 0"))
+    kept, recipes = plan.scrub(docs, held)
+    return plan.read(kept, recipes).select("file_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def q_storage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage_report(_scrubbed(spark, sf_dir)[1])
 
@@ -283,8 +299,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         q_scan_bytes, q_exact_dedup, q_fixed_chunks, q_gear_chunks, q_content_chunks, q_chunk_dedup_ratio, q_byte_hist, q_bigram_hist, q_spectral_hash_pages,
-        q_neighbour_hash, q_sampled_sketch, q_sketch_neighbours, q_shingle_jaccard, q_eq_clusters, q_leader_clusters, q_islands, q_cluster_sizes, q_member_distances,
-        q_leader_distances, q_cluster_totals, q_parent_pick, q_delta_ordinal, q_edit_distance, q_edit_gate, q_lz_flag_table, q_restore_documents, q_storage_report,
+        q_neighbour_hash, q_sampled_sketch, q_sketch_neighbours, q_shingle_jaccard, q_eq_clusters, q_leader_clusters, q_incremental_clusters, q_islands, q_cluster_sizes, q_member_distances,
+        q_leader_distances, q_cluster_totals, q_parent_pick, q_delta_ordinal, q_edit_distance, q_edit_gate, q_lz_flag_table, q_restore_documents, q_incremental_scrub, q_storage_report,
         q_total_dedup_ratio, q_cluster_dedup_ratio, q_store_lookup, q_contains, q_missing, q_free_cell, q_incremental_ingest,
     ]
     found = {f.__name__: f for f in named}
@@ -321,13 +337,14 @@ _TEXT = "select doc_id as {key}, strlen(text)::bigint as n_bytes, sha256(text) a
 _POINTS = _spectral_sql(_DOCS) + """,
         points as materialized (select sha256(d.text) as sha256, min(d.doc_id) as arrival, min(spec.h) as sim_hash from documents d join spec on spec.item_id = d.doc_id group by 1)"""
 #: The fold over arrivals, one at a time.
-_LEADERS = _POINTS + f""",
-        seq as materialized (select row_number() over (order by arrival) as rn, arrival, sim_hash as h, sha256 from points),
+_FOLD = _POINTS + f""",
+        seq as materialized (select row_number() over (order by {{order}}) as rn, arrival, sim_hash as h, sha256 from points),
         fold as (select 0::bigint as rn, 0::bigint as root, []::bigint[] as roots
             union all select rn, root, case when list_contains(roots, root) then roots else list_append(roots, root) end from (
-                select s.rn, fold.roots, coalesce(list_min(list_transform(list_filter(fold.roots, lambda x: abs(x - s.h) <= {cluster.RADIUS}), lambda x: {{'d': abs(x - s.h), 'x': x}})).x, s.h) as root
+                select s.rn, fold.roots, coalesce(list_min(list_transform(list_filter(fold.roots, lambda x: abs(x - s.h) <= {cluster.RADIUS}), lambda x: {{{{'d': abs(x - s.h), 'x': x}}}})).x, s.h) as root
                 from fold join seq s on s.rn = fold.rn + 1)),
         clustered as materialized (select s.sha256, s.arrival, s.h as sim_hash, fold.root as cluster_id from seq s join fold using (rn))"""
+_LEADERS = _FOLD.format(order="arrival")
 
 
 def _fixed_sql(select: str) -> str:
@@ -374,6 +391,7 @@ def oracle_sql() -> dict[str, str]:
         "q_neighbour_hash": f"with {_spectral_sql(_DOCS)} select item_id, least(h + 1, 4294967295) as next_hash, greatest(h - 1, 0) as last_hash from spec",
         "q_eq_clusters": f"with {_POINTS} select sim_hash as cluster_id, count(*) as members from points group by 1",
         "q_leader_clusters": f"with recursive {_LEADERS} select arrival, sim_hash, cluster_id from clustered",
+        "q_incremental_clusters": f"with recursive {_FOLD.format(order='arrival % 2, arrival')} select arrival, sim_hash, cluster_id from clustered",
         "q_islands": f"""with {_POINTS}, keys as (select distinct sim_hash as key from points),
             marked as (select key, case when coalesce(key - lag(key) over (order by key) <= {cluster.RADIUS}, false) then null else key end as start from keys)
             select key, max(start) over (order by key rows unbounded preceding) as island from marked""",
@@ -397,6 +415,7 @@ def oracle_sql() -> dict[str, str]:
             select size, kind, 1 + 5 * ((size - 3) // 256) + kind as flag, (size - 3) % 256 as rest
             from range(3, 1027) a(size) cross join range(5) b(kind)""",
         "q_restore_documents": _TEXT.format(key="file_id"),
+        "q_incremental_scrub": _TEXT.format(key="file_id"),
         "q_store_lookup": "select distinct sha256(text) as sha256, strlen(text)::bigint as n_bytes, sha256(text) as restored_sha256 from documents",
         "q_contains": "select distinct sha256(text) as sha256 from documents",
         "q_missing": "select sha256(html) as sha256 from pages where sha256(html) not in (select sha256(text) from documents)",

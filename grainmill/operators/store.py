@@ -42,12 +42,18 @@ def decode_children(pairs: DataFrame, codec: str, compress: bool = False) -> Dat
     return pairs.mapInArrow(run, pairs.select(*keys).schema.add("data", "binary"))
 
 
-def build_store(chunks: DataFrame, members: DataFrame, codec: str = "gearword", compress: bool = False) -> DataFrame:
-    """Store rows for unique chunks (sha256, data) with members (sha256, sim_hash, is_parent, parent_sha256, ordinal)."""
+def build_store(chunks: DataFrame, members: DataFrame, codec: str = "gearword", compress: bool = False, held: DataFrame | None = None) -> DataFrame:
+    """Store rows for unique chunks (sha256, data) with members (sha256, sim_hash, is_parent, parent_sha256, ordinal).
+
+    Parents may also be raw chunks of the store `held`.
+    """
+    raw = chunks.select("sha256", "data")
+    if held is not None:
+        raw = raw.unionByName(held.where("kind = 'simple' and parent_sha256 is null").select("sha256", F.col("payload").alias("data")))
     parents = members.where("is_parent").join(chunks, "sha256")
     simple = parents.select("sha256", F.col("sim_hash").alias("hash"), F.lit("simple").alias("kind"), F.lit(None).cast("string").alias("parent_sha256"), F.lit(None).cast("long").alias("ordinal"), F.lit(codec).alias("codec"), F.lit(compress).alias("compressed"), F.octet_length("data").cast("long").alias("raw_length"), F.col("data").alias("payload"))
     children = members.where("not is_parent").join(chunks, "sha256").select("sha256", F.col("sim_hash").alias("hash"), "parent_sha256", "ordinal", F.octet_length("data").cast("long").alias("raw_length"), F.col("data").alias("child"))
-    pairs = children.join(chunks.select(F.col("sha256").alias("parent_sha256"), F.col("data").alias("parent")), "parent_sha256").select("sha256", "hash", "parent_sha256", "ordinal", "raw_length", "child", "parent")
+    pairs = children.join(raw.select(F.col("sha256").alias("parent_sha256"), F.col("data").alias("parent")), "parent_sha256").select("sha256", "hash", "parent_sha256", "ordinal", "raw_length", "child", "parent")
     delta = encode_children(pairs, codec, compress).select("sha256", "hash", "kind", "parent_sha256", "ordinal", F.lit(codec).alias("codec"), F.lit(compress).alias("compressed"), "raw_length", "payload")
     return simple.unionByName(delta)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from grainmill.functions.sampled import with_sketch
 from grainmill.functions.spectral import with_spectra
 from grainmill.operators import chunking, cluster, store
+from grainmill.operators.ranking import in_order
 from grainmill.session import settle
 
 
@@ -29,39 +30,39 @@ class SimilarityPipeline:
 
     def unique(self, chunks: DataFrame) -> DataFrame:
         """sha256, data, arrival of the first copy of each chunk."""
-        first = chunking.unique_chunks(chunks)
-        of = F.row_number().over(_in_order())
-        first = first.withColumn("arrival", of.cast("long"))
+        first = in_order(chunking.unique_chunks(chunks), ["first_file", "first_seq"], "arrival")
         return first.join(chunks, (first["first_file"] == chunks["file_id"]) & (first["first_seq"] == chunks["seq"])).select(first["sha256"], "data", "arrival", "copies", first["length"])
 
-    def members(self, unique: DataFrame) -> DataFrame:
+    def members(self, unique: DataFrame, held: DataFrame | None = None) -> DataFrame:
         if self.hasher == "sampled":
             hashed = with_sketch(unique.select("sha256", "arrival", "data"), "data").withColumn("sim_hash", F.xxhash64("features"))
         else:
             hashed = with_spectra(unique.select("sha256", "arrival", "data"), "data")
         points = settle(hashed.select("sha256", "arrival", "sim_hash"), "points")
-        grouped = cluster.leader_clusters(points, self.radius) if self.clusterer == "leader" else cluster.equal_clusters(points)
-        return cluster.with_parents(grouped)
+        if self.clusterer == "leader":
+            grouped = cluster.leader_clusters(points, self.radius, cluster.parents_of(held) if held is not None else None)
+        else:
+            grouped = cluster.equal_clusters(points)
+        return cluster.with_parents(settle(grouped, "clusters"), held)
+
+    def scrub(self, files: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(store, recipes) of files (file_id, content).
 
-    def scrub(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(store, recipes) of files (file_id, content)."""
+        held: the store of earlier scrubs by the same plan, a table that can be read again. Its chunks stay as they are, its
+        parents lead, and the result holds it and what is new.
+        """
         chunks = settle(self.chunk(files), "chunks")
-        unique = settle(self.unique(chunks), "unique")
-        members = settle(self.members(unique), "members")
-        kept = settle(store.build_store(unique.select("sha256", "data"), members, self.codec, self.compress), "store")
-        return kept, chunks.select("file_id", "seq", "sha256")
+        unique = self.unique(chunks)
+        unique = settle(unique if held is None else store.missing(held, unique), "unique")
+        members = settle(self.members(unique, held), "members")
+        kept = settle(store.build_store(unique.select("sha256", "data"), members, self.codec, self.compress, held), "store")
+        return kept if held is None else held.unionByName(kept), chunks.select("file_id", "seq", "sha256")
 
     def read(self, kept: DataFrame, recipes: DataFrame) -> DataFrame:
         chunks = store.get(kept, recipes.select("sha256").distinct(), self.codec, self.compress, "raise")
         return store.restore(recipes, chunks)
 
 
-def _in_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("first_file", "first_seq")
-
-
 def storage_report(kept: DataFrame) -> DataFrame:
     """data_left (bytes stored raw), processed_data (bytes of delta code), raw_bytes and chunks."""
     raw = F.col("kind") == "simple"
