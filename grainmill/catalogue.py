@@ -173,6 +173,27 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(before, "item_id", "left").select("item_id", F.col("content").alias("child"), F.coalesce("parent", F.lit(b"")).alias("parent"))
 
 
+def q_edit_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte edit distance of every conversation turn to the turn before, whatever their sizes."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("content"))
+    return _turn_distances(turns).select("conv_id", "turn", "distance")
+
+
+def q_edit_gate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an edit script of that distance is worth storing: never where sizes differ by more than the codec takes."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("content"))
+    n, m = F.octet_length("content"), F.octet_length("before")
+    worth = (F.abs(n - m) <= codecs.MOST_DIFFERENCE) & (4 * F.col("distance") + 4 <= n)
+    return _turn_distances(turns).select("conv_id", "turn", worth.alias("worth"))
+
+
+def _turn_distances(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, content, before, distance of all turns that have one before them."""
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("content").alias("before"))
+    latin = lambda c: F.decode(c, "ISO-8859-1")
+    return turns.join(before, ["conv_id", "turn"]).withColumn("distance", F.levenshtein(latin("content"), latin("before")).cast("long"))
+
+
 def q_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte edit distance of conversation turns to the turn before, where both have at most 400 bytes."""
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("content"))
@@ -300,7 +321,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         q_scan_bytes, q_exact_dedup, q_fixed_chunks, q_gear_chunks, q_content_chunks, q_chunk_dedup_ratio, q_byte_hist, q_bigram_hist, q_spectral_hash_pages,
         q_neighbour_hash, q_sampled_sketch, q_sketch_neighbours, q_shingle_jaccard, q_eq_clusters, q_leader_clusters, q_incremental_clusters, q_islands, q_cluster_sizes, q_member_distances,
-        q_leader_distances, q_cluster_totals, q_parent_pick, q_delta_ordinal, q_edit_distance, q_edit_gate, q_lz_flag_table, q_restore_documents, q_incremental_scrub, q_storage_report,
+        q_leader_distances, q_cluster_totals, q_parent_pick, q_delta_ordinal, q_edit_distance, q_edit_gate, q_edit_distance_all, q_edit_gate_all, q_lz_flag_table, q_restore_documents, q_incremental_scrub, q_storage_report,
         q_total_dedup_ratio, q_cluster_dedup_ratio, q_store_lookup, q_contains, q_missing, q_free_cell, q_incremental_ingest,
     ]
     found = {f.__name__: f for f in named}
