@@ -9,8 +9,9 @@ packed by a static prefix code. Every encoder is lossless for all inputs.
 
 from __future__ import annotations
 
+import math
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -160,7 +161,50 @@ def encode_block(child: bytes, parent: bytes) -> bytes:
 
 # Fixed values of the edit script: actions in bits 30 and 31, the byte, and the index below 2^22.
 REPLACE, ADD, DELETE = 0, 1, 2
-MOST_CELLS, MOST_DIFFERENCE = 4_000_000, 4000
+MOST_DIFFERENCE = 4000
+
+
+def _columns(a: bytes, b: bytes) -> Callable[[int, int, int, int], Iterator[tuple[int, int, int]]]:
+    """Runs over columns of the matrix of edit distances, each a whole number with a bit for each byte of `a`.
+
+    From the bits where a column grows and falls it gives, per byte of b, those where the cell equals the one
+    before it on the diagonal, and the new two.
+    """
+    left, mask = np.frombuffer(a, np.uint8), (1 << len(a)) - 1
+    places = {x: int.from_bytes(np.packbits(left == x, bitorder="little").tobytes(), "little") for x in set(b)}
+
+    def run(up: int, down: int, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        for x in b[lo:hi]:
+            met = places[x] | down
+            same = ((((met & up) + up) ^ up) | met) & mask
+            falls, grows = up & same, down | mask ^ (up | same)
+            shifted = (grows << 1 | 1) & mask
+            down = shifted & same
+            up = (falls << 1 | mask ^ (shifted | same)) & mask
+            yield same, up, down
+
+    return run
+
+
+def _edit_steps(a: bytes, b: bytes, most: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Parts of the matrix from its last columns to the first: where each begins, and per column the bits that
+    tell the way back. Only the first column of a part is kept on the way there; declines at a distance above `most`.
+    """
+    run, part = _columns(a, b), max(64, math.isqrt(len(b)))
+    starts, up, down = [], (1 << len(a)) - 1, 0
+    for lo in range(0, len(b), part):
+        starts.append((lo, up, down))
+        hi = min(lo + part, len(b))
+        for _, up, down in run(up, down, lo, hi):  # noqa: B007
+            pass
+        # distances never fall along a diagonal, and this one ends in the last cell
+        on = (1 << max(0, len(a) - len(b) + hi)) - 1
+        if len(a) - len(b) + hi >= 0 and hi + (up & on).bit_count() - (down & on).bit_count() > most:
+            raise RawFallback
+    if not b and len(a) > most:
+        raise RawFallback
+    for lo, up, down in reversed(starts):
+        yield lo, [(same, grown) for same, grown, _ in run(up, down, lo, lo + part)]
 
 
 def encode_editscript(child: bytes, parent: bytes) -> bytes:
@@ -170,33 +214,25 @@ def encode_editscript(child: bytes, parent: bytes) -> bytes:
     head = _run(child, 0, parent, 0)
     tail = _run(child[head:][::-1], 0, parent[head:][::-1], 0)
     a, b = parent[head : len(parent) - tail], child[head : len(child) - tail]
-    if 4 * max(abs(len(a) - len(b)), 1 if a != b else 0) + 4 > max(len(child), 4) or len(a) * len(b) > MOST_CELLS or len(parent) >= 1 << 22:
-        raise RawFallback
-    cost = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    cost[0] = np.arange(len(b) + 1)
-    right, ramp = np.frombuffer(b, np.uint8), np.arange(len(b) + 1)
-    for i in range(1, len(a) + 1):
-        row = np.empty(len(b) + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (right != a[i - 1]))
-        cost[i] = np.minimum.accumulate(row - ramp) + ramp
-    if 4 * int(cost[-1, -1]) + 4 > max(len(child), 4):
+    if len(parent) >= 1 << 22:
         raise RawFallback
     out, i, j = [], len(a), len(b)
-    while i or j:
-        here = cost[i, j]
-        if i and j and a[i - 1] == b[j - 1] and cost[i - 1, j - 1] == here:
-            i, j = i - 1, j - 1
-            continue
-        if i and j and cost[i - 1, j - 1] + 1 == here:
-            i, j = i - 1, j - 1
-            out.append(REPLACE << 30 | b[j] << 22 | head + i)
-        elif i and cost[i - 1, j] + 1 == here:
-            i -= 1
-            out.append(DELETE << 30 | head + i)
-        else:
-            j -= 1
-            out.append(ADD << 30 | b[j] << 22 | head + i)
+    for at, steps in _edit_steps(a, b, (max(len(child), 4) - 4) // 4):
+        while i and j > at:
+            same, less = steps[j - at - 1]
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+            elif not same >> i - 1 & 1:
+                i, j = i - 1, j - 1
+                out.append(REPLACE << 30 | b[j] << 22 | head + i)
+            elif less >> i - 1 & 1:
+                i -= 1
+                out.append(DELETE << 30 | head + i)
+            else:
+                j -= 1
+                out.append(ADD << 30 | b[j] << 22 | head + i)
+    out += [DELETE << 30 | head + k for k in range(i - 1, -1, -1)]
+    out += [ADD << 30 | b[k] << 22 | head for k in range(j - 1, -1, -1)]
     return struct.pack(f">{len(out)}I", *out)
 
 
