@@ -65,6 +65,22 @@ def _spread(edges: DataFrame, seeds: DataFrame, source: str, target: str) -> Dat
     return now
 
 
+def _suspicion(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(host, score) after STEPS steps of distrust from `seeds` against the edges.
+
+    A host takes the mean over the hosts that it links to, so a score doesn't shrink with
+    the number of others that link there; it is never below the host's own seed.
+    """
+    out = edges.groupBy(F.col("src").alias("host")).agg(F.count("*").alias("degree"))
+    shared = edges.select(F.col("dst").alias("host"), F.col("src").alias("to")).join(out.withColumnRenamed("host", "to"), "to")
+    now = seeds
+    for _ in range(STEPS):
+        moved = shared.join(now, "host").select(F.col("to").alias("host"), (F.lit(DAMPING) * F.col("score") / F.col("degree")).alias("score"), F.lit(0.0).alias("seed"))
+        back = seeds.select("host", (F.lit(1 - DAMPING) * F.col("score")).alias("score"), F.col("score").alias("seed"))
+        now = moved.unionByName(back).groupBy("host").agg(F.greatest(F.sum("score"), F.max("seed")).alias("score"))
+    return now
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 
@@ -79,7 +95,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     share = ruled.where("host <> ''").groupBy("host").agg(F.avg(F.when(F.col("found.verdict") == "allow", 1.0).otherwise(0.0)).alias("trust"), F.avg(F.when(F.col("found.verdict") == "block", 1.0).otherwise(0.0)).alias("distrust"))
     share = settle(share, "seeds")
     trust = _spread(edges, share.where("trust > 0").select("host", F.col("trust").alias("score")), "src", "dst")
-    distrust = _spread(edges, share.where("distrust > 0").select("host", F.col("distrust").alias("score")), "dst", "src")
+    distrust = _suspicion(edges, share.where("distrust > 0").select("host", F.col("distrust").alias("score")))
     both = distrust.select("host", "score").unionByName(trust.select("host", (-F.col("score")).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
     bad = settle(both.where(F.col("score") > MARGIN + 1e-9).select("host", F.lit("block").alias("by_links")), "blocked_hosts")
     return ruled.select("page_id", "host", "path", "found").join(bad, "host", "left").select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", "by_links", F.lit("allow")).alias("verdict"))
@@ -93,7 +109,7 @@ def _sql_split(url: str) -> tuple[str, str]:
 
 
 def oracle(rules=RULES) -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL where hosts have no links between them; else it divides distrust by in-degree."""
     host, path = _sql_split("url")
     target, _ = _sql_split("link")
     link = LINK.replace("'", "''")
