@@ -149,18 +149,19 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "source", "size")), pa.array([part] * len(before), pa.int32()), pa.array(before, pa.int64())], ["row", "doc_id", "source", "size", "part", "before"])
 
 
-def draws(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, shards: int = 64, seed: int = 7) -> DataFrame:
+def draws(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, shards: int = 64, seed: int = 7, row: str | None = None) -> DataFrame:
     """row, doc_id, size, source_size, target, taken, draws: what the mix takes of each document.
 
     draws: array of (shard, at, pass, from_word, to_word); `at` orders a shard. size is the
     number of words, 0 where the text is null or blank; such documents aren't drawn. A
     null source is one of its own, last in order. Documents are lined up by doc_id (null
     first) and a hash of the text, so the result doesn't depend on partitions; of rows
-    equal in these it doesn't matter which is which. docs must give its rows in the same
-    order each time it is read, as tables of files do. An empty table gives an empty one.
+    equal in these it doesn't matter which is which. `row` names a column of docs with settled
+    row numbers, for who joins on them; without it rows are numbered here, and the numbers
+    hold for this result alone. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    sizes = settle(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie")), "sizes")
+    sizes = settle(docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie")), "sizes")
     order = [F.col("source").asc_nulls_last(), "doc_id", "tie"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ran = settle(sizes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_running, _RUN), "offsets")
@@ -218,8 +219,9 @@ def _excerpt(text: str, ranges: list[tuple[int, int]], size: int) -> str:
 
 
 def _with_draws(docs: DataFrame, **options) -> DataFrame:
-    rows = docs.select("*", F.monotonically_increasing_id().alias("__row"))
-    drawn = draws(docs, **options).where("taken > 0").select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("draws").alias("__draws"))
+    #: Settled with their numbers, which a second read may deal out otherwise.
+    rows = settle(docs.select("*", F.monotonically_increasing_id().alias("__row")), "rows")
+    drawn = draws(rows, row="__row", **options).where("taken > 0").select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("draws").alias("__draws"))
     return rows.join(drawn, "__row").drop("__row")
 
 
