@@ -1,7 +1,8 @@
 """Format-preserving Feistel pseudonyms of validated numbers and dates, and of mail addresses.
 
 Found and validated: payment card numbers (Luhn), IBANs (mod 97), social security numbers, phone
-numbers, IPv4 addresses, calendar dates and mail addresses. Each value is read as a number
+numbers, IPv4 addresses, calendar dates (years of four digits in any order and with English month
+names, or two digits last) and mail addresses. Each value is read as a number
 below the size of its format, permuted by a keyed Feistel network (walking cycles until the
 result is in the format again), and written back with its own separators and with a fresh
 check digit. The key and the kind alone fix the permutation, so equal values get
@@ -20,18 +21,28 @@ from pyspark.sql import DataFrame
 
 ROUNDS = 8
 KINDS = ("mail", "iban", "card", "ssn", "phone", "ip", "date")
+_SHORT = datetime.date(1969, 1, 1).toordinal(), datetime.date(2068, 12, 31).toordinal()
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = "(?i:" + "|".join(rf"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in _MONTHS).replace("Sep(?:", "Sep(?:t|") + r")\.?"
+_NTH = r"\d{1,2}(?i:st|nd|rd|th)?"
+_DATES = "|".join((
+    r"\d{4}-\d{2}-\d{2}", r"\d{4}/\d{1,2}/\d{1,2}", r"\d{4}\.\d{2}\.\d{2}",
+    r"\d{1,2}[./]\d{1,2}[./]\d{4}", r"\d{1,2}-\d{1,2}-\d{4}",
+    r"\d{1,2}/\d{1,2}/\d{2}", r"\d{2}\.\d{2}\.\d{2}", r"\d{2}-\d{2}-\d{2}",
+    rf"{_NTH}(?: (?:of )?|-){_MONTH}(?:,? |-)\d{{4}}", rf"\d{{1,2}}-{_MONTH}-\d{{2}}", rf"{_MONTH} {_NTH},? \d{{4}}",
+))
 _BEFORE = (
     r"(?P<mail>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w]|[./-]\d))"
+    rf"|(?P<date>(?<![\w./-])(?:{_DATES})(?:(?=[Tt]\d\d)|(?![\w]|[./-]\d)))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
 )
 _RUN = r"|(?P<run>(?<!\w)\d(?:[ -]?\d){12,}(?!\w|[./]\d))"
 _AFTER = r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w))"
 _FIND, _REST = re.compile(_BEFORE + _RUN + _AFTER, re.ASCII), re.compile(_BEFORE + _AFTER, re.ASCII)
-_LIKELY, _GROUP, _MARK = re.compile(r"[0-9@]"), re.compile(r"[0-9]+"), re.compile(r"[^0-9]")
+_LIKELY, _GROUP, _MARK, _WORDS = re.compile(r"[0-9@]"), re.compile(r"[0-9]+"), re.compile(r"[^0-9]"), re.compile(r"[A-Za-z]+")
 #: Lengths of the groups in which card numbers of several groups are written.
 CARD_GROUPS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 1))
 
@@ -133,22 +144,59 @@ def _ip(text: str, key: bytes) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _new_day(y: int, m: int, d: int, key: bytes, short: bool = False) -> datetime.date | None:
+    """The pseudonym of a day among those of 1900 to 2099, or all others; of a year of two digits among 1969 to 2068."""
+    try:
+        day = datetime.date(y + (2000 if y < 69 else 1900) if short else y, m, d).toordinal()
+    except ValueError:
+        return None
+    if short:
+        size = _SHORT[1] - _SHORT[0] + 1
+        return datetime.date.fromordinal(_SHORT[0] + permute(day - _SHORT[0], size, key, "short date"))
+    size = _LAST - _FIRST + 1
+    if _FIRST <= day <= _LAST:
+        return datetime.date.fromordinal(_FIRST + permute(day - _FIRST, size, key, "date"))
+    other = permute(day - 1 if day < _FIRST else day - 1 - size, datetime.date.max.toordinal() - size, key, "date")
+    return datetime.date.fromordinal(other + 1 if other + 1 < _FIRST else other + 1 + size)
+
+
+def _named_date(text: str, key: bytes) -> str | None:
+    """A date with the month's name: written with a name as long, in the same case, and the day's ending."""
+    name = next(m for m in _WORDS.finditer(text) if m[0].lower() not in ("st", "nd", "rd", "th", "of"))
+    day, year = (m for m in _GROUP.finditer(text))
+    short = len(year[0]) == 2
+    new = _new_day(int(year[0]), 1 + next(k for k, m in enumerate(_MONTHS) if name[0][:3].lower() == m[:3].lower()), int(day[0]), key, short)
+    if new is None:
+        return None
+    whole = len(name[0]) > 4 or name[0].lower() in ("may", "june", "july") and text[name.end()] not in ".-"
+    month = _MONTHS[new.month - 1][: None if whole else 3]
+    month = month.upper() if name[0].isupper() else month.lower() if name[0].islower() else month
+    number = f"{new.day:02d}" if day[0][0] == "0" else str(new.day)
+    ending, at = text[day.end() : day.end() + 2], day.end()
+    if ending.lower() in ("st", "nd", "rd", "th"):
+        right = "th" if new.day in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+        number, at = number + (right.upper() if ending.isupper() else right), at + 2
+    parts = sorted([(day.start(), at, number), (*name.span(), month), (*year.span(), f"{new.year % 100:02d}" if short else f"{new.year:04d}")])
+    out, done = "", 0
+    for lo, hi, x in parts:
+        out, done = out + text[done:lo] + x, hi
+    return out
+
+
 def _date(text: str, key: bytes) -> str | None:
+    if _WORDS.search(text):
+        return _named_date(text, key)
     parts = re.split(r"[./-]", text)
     y, m, d = map(int, parts if len(parts[0]) == 4 else reversed(parts))
     swapped = m > 12 >= d  # month first
-    try:
-        day = datetime.date(y, *((d, m) if swapped else (m, d))).toordinal()
-    except ValueError:
-        return None
-    if not _FIRST <= day <= _LAST:
+    new = _new_day(y, *((d, m) if swapped else (m, d)), key, len(parts[0]) < 4 and len(parts[2]) == 2)
+    if new is None:
         return None
-    new = datetime.date.fromordinal(_FIRST + permute(day - _FIRST, _LAST - _FIRST + 1, key, "date"))
-    if len(parts[0]) == 4:
-        return new.isoformat()
     sep = text[len(parts[0])]
+    if len(parts[0]) == 4:
+        return new.isoformat().replace("-", sep)
     a, b = (new.month, new.day) if swapped else (new.day, new.month)
-    return f"{a:02d}{sep}{b:02d}{sep}{new.year}"
+    return f"{a:02d}{sep}{b:02d}{sep}" + (f"{new.year % 100:02d}" if len(parts[2]) == 2 else f"{new.year:04d}")
 
 
 def _mail(text: str, key: bytes) -> str | None:
