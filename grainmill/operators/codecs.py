@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import struct
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -23,6 +24,8 @@ from grainmill.operators.chunking import gear_cuts
 
 WORD, LONGEST, INSERT = 16, (1 << 23) - 1, 1 << 23
 SUB_BITS = 13
+#: Places up to which the block code tries each; of more, the order of suffixes gives the same run.
+FEW = 64
 
 
 class RawFallback(Exception):
@@ -137,12 +140,42 @@ def encode_subchunk(child: bytes, parent: bytes, mode: str = "plain") -> bytes:
 def _block_index(parent: bytes) -> dict[bytes, list[int]]:
     index: dict[bytes, list[int]] = {}
     for i in range(len(parent) - WORD + 1):
-        places = index.setdefault(parent[i : i + WORD], [])
-        if len(places) < 64:
-            places.append(i)
+        index.setdefault(parent[i : i + WORD], []).append(i)
     return index
 
 
+@lru_cache(maxsize=8)
+def _suffixes(parent: bytes) -> np.ndarray:
+    """Places of the parent in the order of what follows them, by ranks of doubled lengths."""
+    rank, size = np.frombuffer(parent, np.uint8).astype(np.int64) + 1, 1
+    while True:
+        after = np.zeros(len(rank), np.int64)
+        after[: len(rank) - size] = rank[size:]
+        key = rank * (len(rank) + 257) + after
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        rank[order] = np.cumsum(new)
+        size *= 2
+        if new.all() or size >= len(rank):
+            return order
+
+
+def _longest(child: bytes, i: int, parent: bytes) -> tuple[int, int]:
+    """The longest run from child[i] among all places of the parent, and minus the first place that has it."""
+    order = _suffixes(parent)
+
+    def before(p: int) -> bool:
+        n = _run(child, i, parent, p)
+        return i + n < len(child) and (p + n == len(parent) or parent[p + n] < child[i + n])
+
+    k = bisect_left(order, True, key=lambda p: not before(int(p)))
+    size = max(_run(child, i, parent, int(p)) for p in order[max(0, k - 1) : k + 1])
+    want = child[i : i + size]
+    lo = bisect_left(order, want, key=lambda p: parent[p : p + size])
+    hi = bisect_right(order, want, lo=lo, key=lambda p: parent[p : p + size])
+    return size, -int(order[lo:hi].min())
+
+
 def encode_block(child: bytes, parent: bytes) -> bytes:
     """Copies the longest run among all places of the next 16-byte block."""
     parent = _addressable(parent)
@@ -153,7 +186,7 @@ def encode_block(child: bytes, parent: bytes) -> bytes:
         if places is None:
             i += 1
             continue
-        size, place = max(((_run(child, i, parent, p), -p) for p in places))
+        size, place = max((_run(child, i, parent, p), -p) for p in places) if len(places) <= FEW else _longest(child, i, parent)
         out += [_insert(child[done:i]), _copy(-place, size)]
         done = i = i + size
     return b"".join([*out, _insert(child[done:])])
