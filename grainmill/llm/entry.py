@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return draws(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return draws(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "n_shards")
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,23 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 The words of a source, its documents in order of doc_id, form one line that is cut into
-blocks of BLOCK words. A source's target fixes how many blocks the mix takes from it, to the
+blocks of `block` words. A source's target fixes how many blocks the mix takes from it, to the
 word: whole passes over the line, and a part of one more. A keyed Feistel permutation per
-source and pass puts the blocks in drawing order, so no block is drawn twice in a pass.
-
-The tree spreads these quotas over the output shards: at a node, the left half of
-the shards gets a multivariate hypergeometric draw of the node's quotas, the right
-half the rest, down to single shards, so quotas add up exactly at every level. A shard takes the
-draws in its range of each source's order, which are disjoint from all others, and shuffles
-them by a keyed hash.
+source and pass puts the blocks in drawing order.
+
+The tree spreads these quotas, one for each source and pass, over the output shards: at a
+node, the left half of the shards gets a multivariate hypergeometric draw of the node's quotas, the
+right half the rest, down to single shards, so quotas add up exactly at every level. The shards'
+quotas cut each drawing order into stretches, one a shard; a shard draws its quota from its own
+stretch, disjoint from all others, and shuffles what it drew by a keyed hash. So the
+tree decides which shard draws a block, and in the part of a pass also whether one does: another split, or
+another number of shards, draws other blocks to the same total.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -57,21 +60,47 @@ def source_plan(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limit:
     return per.select("source", "source_size", F.coalesce(F.least("most", F.col("weight") * F.col("rate")), "most").alias("target"))
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Exact below 1e9; above, the normal law of the same mean and variance, in the same range."""
-    total = good + bad
-    if not total or not draws or not good:
-        return 0
-    if total < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, draws))
-    p = good / total
-    sd = math.sqrt(draws * p * (1 - p) * (total - draws) / max(1, total - 1))
-    return min(max(round(rng.normal(draws * p, sd)), draws - bad, 0), good, draws)
+def _log_ratio(n: int, d: int) -> float:
+    """log((n + d)! / n!), without the loss of digits that a difference of two large logarithms has."""
+    m = n + d
+    if n < 1000 or m < 1000:
+        return math.lgamma(m + 1) - math.lgamma(n + 1)
+    tail = [1 / (12 * x) - 1 / (360 * x**3) for x in (n, m)]
+    return (n + 0.5) * math.log1p(d / n) + d * math.log(m) - d + tail[1] - tail[0]
+
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of `draws` items without replacement are good, by ratio of uniforms, for any sizes.
 
-def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """Quotas of each shard (rows) and source (columns); columns add up to `quotas`."""
-    out = np.zeros((shards, len(quotas)), np.int64)
+    Points under a hat over the square root of the law are accepted by its logarithm relative to the mode.
+    """
+    total = good + bad
+    if min(good, bad, draws, total - draws) == 0:
+        return good if draws == total else draws if not bad else 0
+    few, taken = min(good, bad), min(draws, total - draws)  # the law of the rarer kind in the smaller part
+    share = few / total
+    width = math.sqrt((total - taken) / (total - 1) * taken * share * (1 - share) + 0.5)
+    scale = 2 * math.sqrt(2 / math.e) * width + 3 - 2 * math.sqrt(3 / math.e)
+    mode = (taken + 1) * (few + 1) // (total + 2)
+    room = total - few - taken
+    while True:
+        x, y = rng.random(2)
+        if not x:
+            continue
+        k = math.floor(taken * share + 0.5 + scale * (y - 0.5) / x)
+        if not max(0, -room) <= k <= min(few, taken):
+            continue
+        d = k - mode
+        if 2 * math.log(x) <= -(_log_ratio(mode, d) + _log_ratio(few - mode, -d) + _log_ratio(taken - mode, -d) + _log_ratio(room + mode, d)):
+            break
+    if good > bad:
+        k = taken - k
+    return k if draws == taken else good - k
+
+
+def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
+    """Quotas of each shard (rows) and column; columns add up to `quotas`, and shards to within one of each other at every node."""
+    out: list[list[int]] = [[]] * shards
 
     def node(lo: int, hi: int, left: list[int]) -> None:
         if hi - lo == 1:
@@ -80,7 +109,7 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
         mid, rng = (lo + hi) // 2, np.random.default_rng([seed, lo, hi])
         rest, draws, here = sum(left), sum(left) * (mid - lo) // (hi - lo), []
         for q in left:
-            got = _hypergeometric(rng, q, rest - q, draws)
+            got = hypergeometric(rng, q, rest - q, draws)
             here.append(got)
             rest, draws = rest - q, draws - got
         node(lo, mid, here)
@@ -105,35 +134,53 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 class _Source:
-    def __init__(self, name: str | None, size: int, target: float, seed: int):
+    """A source's line of blocks, and what each shard draws from it in each pass."""
+
+    def __init__(self, name: str | None, size: int, target: float, seed: int, block: int = BLOCK):
         self.key = int.from_bytes(hashlib.blake2b(f"{seed}:{'' if name is None else 's' + name}".encode(), digest_size=8).digest(), "little")
-        self.size, words = size, min(round(target), 2 * size) if size else 0
+        words = min(round(target), 2 * size) if size else 0
         self.passes, self.part = divmod(words, size) if size else (0, 0)
-        self.full = size // BLOCK
-        self.blocks = -(-size // BLOCK)
-        #: Draws: blocks of whole passes, and those of the part, the last of which may be cut.
-        self.quota = self.passes * self.blocks + -(-self.part // BLOCK)
+        self.block, self.full, self.blocks = block, size // block, -(-size // block)
+        #: Blocks to be drawn in each pass: all of them, and in the last pass those of the part.
+        self.quotas = [self.blocks] * self.passes + ([-(-self.part // block)] if self.part else [])
+
+    def deal(self, quotas: list[list[int]]) -> None:
+        """Gives each shard its stretch of each pass's drawing order; quotas: by shard, of each pass.
+
+        Stretches lie side by side. In a whole pass one is as long as its shard's quota; in the part the line is
+        cut in proportion to the quotas, and a shard draws the first blocks of its stretch up to its quota.
+        """
+        self.stretches = []
+        for p, quota in enumerate(self.quotas):
+            line = quota if p < self.passes else self.full if quota <= self.full else self.blocks
+            done = list(itertools.accumulate(q[p] for q in quotas))
+            ends = [d * line // quota for d in done]
+            self.stretches.append(tuple(np.array(x, np.int64) for x in (ends, [0, *ends[:-1]], [0, *done[:-1]], [q[p] for q in quotas])))
 
     def draws(self, first: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         """What the mix takes of documents that hold words [first, first + size) of the line.
 
-        Columns: index of the document, position in drawing order, pass, from word, to word.
+        Columns: index of the document, shard, place in the order of its pass, pass, from word, to word.
         """
         some = np.flatnonzero(size > 0)
         begin, end = first[some], first[some] + size[some]
-        count = (end - 1) // BLOCK - begin // BLOCK + 1
+        count = (end - 1) // self.block - begin // self.block + 1
         of = np.repeat(np.arange(len(some)), count)
-        block = begin[of] // BLOCK + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        block = begin[of] // self.block + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         out = []
-        for p in range(self.passes + (self.part > 0)):
-            at = np.full(len(block), self.full)  # the short block at the end of the line is drawn last
+        for p, (ends, starts, before, quota) in enumerate(self.stretches):
+            at = np.full(len(block), self.full)  # the short block at the end of the line is last in order
             whole = block < self.full
             at[whole] = permuted(block[whole], self.full, self.key + p)
-            words = BLOCK if p < self.passes else np.minimum(BLOCK, self.part - at * BLOCK)
-            lo, hi = np.maximum(begin[of], block * BLOCK), np.minimum(end[of], block * BLOCK + words)
+            shard = np.minimum(np.searchsorted(ends, at, side="right"), len(ends) - 1)
+            nth = at - starts[shard]
+            words = np.full(len(at), self.block)
+            if p == self.passes:  # of the part's last draw only what is left
+                words = np.where(nth < quota[shard], np.minimum(self.block, self.part - (before[shard] + nth) * self.block), 0)
+            lo, hi = np.maximum(begin[of], block * self.block), np.minimum(end[of], block * self.block + words)
             got = hi > lo
-            out.append(np.stack([some[of], p * self.blocks + at, np.full(len(at), p), lo - begin[of], hi - begin[of]])[:, got])
-        return list(np.concatenate(out, axis=1)) if out else [np.zeros(0, np.int64)] * 5
+            out.append(np.stack([some[of], shard, at, np.full(len(at), p), lo - begin[of], hi - begin[of]])[:, got])
+        return list(np.concatenate(out, axis=1)) if out else [np.zeros(0, np.int64)] * 6
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +196,11 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "source", "size")), pa.array([part] * len(before), pa.int32()), pa.array(before, pa.int64())], ["row", "doc_id", "source", "size", "part", "before"])
 
 
-def draws(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, shards: int = 64, seed: int = 7, row: str | None = None) -> DataFrame:
-    """row, doc_id, size, source_size, target, taken, draws: what the mix takes of each document.
+def draws(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, shards: int = 64, seed: int = 7, row: str | None = None, block: int = BLOCK) -> DataFrame:
+    """row, doc_id, size, source_size, target, taken, n_shards, draws: what the mix takes of each document.
 
-    draws: array of (shard, at, pass, from_word, to_word); `at` orders a shard. size is the
+    draws: array of (shard, at, pass, from_word, to_word), what each shard draws of it; `at` orders a shard. taken is
+    the sum over all shards, n_shards says how many draw from the document. size is the
     number of words, 0 where the text is null or blank; such documents aren't drawn. A
     null source is one of its own, last in order. Documents are lined up by doc_id (null
     first) and a hash of the text, so the result doesn't depend on partitions; of rows
@@ -165,13 +213,16 @@ def draws(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float =
     order = [F.col("source").asc_nulls_last(), "doc_id", "tie"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ran = settle(sizes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_running, _RUN), "offsets")
-    plan = source_plan(sizes, weights, share, limit).limit(MAX_SOURCES + 1).collect()
-    if len(plan) > MAX_SOURCES:
+    if sizes.select("source").distinct().count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
+    plan = source_plan(sizes, weights, share, limit).collect()
     plan.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sources = {r["source"]: _Source(r["source"], r["source_size"], r["target"], seed) for r in plan}
+    sources = {r["source"]: _Source(r["source"], r["source_size"], r["target"], seed, block) for r in plan}
     known = {r["source"]: (r["source_size"], r["target"], k) for k, r in enumerate(plan)}
-    ends = np.cumsum(split_quotas([s.quota for s in sources.values()], shards, seed), axis=0)
+    dealt, at = split_quotas([q for s in sources.values() for q in s.quotas], shards, seed), 0
+    for s in sources.values():
+        s.deal([row[at : at + len(s.quotas)] for row in dealt])
+        at += len(s.quotas)
     base = ran.groupBy("part", "source").agg(F.sum("size").alias("words"))
     base = base.withColumn("base", F.sum("words").over(Window.partitionBy("source").orderBy("part")) - F.col("words")).select("part", F.col("source").alias("of"), "base")
     placed = ran.join(base, (ran["part"] == base["part"]) & ran["source"].eqNullSafe(base["of"])).select("row", "doc_id", "source", "size", (F.col("before") + F.col("base")).alias("first"))
@@ -186,19 +237,19 @@ def draws(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float =
             found = [np.zeros((6, 0), np.int64)]
             for name in dict.fromkeys(names):
                 rows, k = np.flatnonzero(rank == known[name][2]), known[name][2]
-                doc, q, turn, lo, hi = sources[name].draws(first[rows], size[rows])
-                shard = np.searchsorted(ends[:, k], q, side="right")
-                at = mix(q.astype(U64) + U64(sources[name].key)).view(np.int64)
+                doc, shard, q, turn, lo, hi = sources[name].draws(first[rows], size[rows])
+                at = mix((q * 2 + turn).astype(U64) + U64(sources[name].key)).view(np.int64)
                 found.append(np.stack([rows[doc], shard, at, turn, lo, hi]))
             got = np.concatenate(found, axis=1)
             got = got[:, np.lexsort((got[4], got[3], got[0]))]
             taken = np.bincount(got[0], weights=got[5] - got[4], minlength=len(size)).astype(np.int64)
+            meets = np.bincount(np.unique(got[:2], axis=1)[0], minlength=len(size))
             offsets = np.concatenate([[0], np.cumsum(np.bincount(got[0], minlength=len(size)))]).astype(np.int32)
             items = pa.StructArray.from_arrays([pa.array(got[i + 1].astype(kind_.to_pandas_dtype())) for i, (_, kind_) in enumerate(fields)], [f for f, _ in fields])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("size"), pa.array([known[x][0] for x in names], pa.int64()), pa.array([known[x][1] for x in names], pa.float64()), pa.array(taken), pa.ListArray.from_arrays(pa.array(offsets), items)], ["row", "doc_id", "size", "source_size", "target", "taken", "draws"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("size"), pa.array([known[x][0] for x in names], pa.int64()), pa.array([known[x][1] for x in names], pa.float64()), pa.array(taken), pa.array(meets), pa.ListArray.from_arrays(pa.array(offsets), items)], ["row", "doc_id", "size", "source_size", "target", "taken", "n_shards", "draws"])
 
     # dealt out anew: rows are narrow, but each is worked on for as long as it has blocks
-    return placed.repartition(parts, "row").mapInArrow(run, "row long, doc_id long, size long, source_size long, target double, taken long, draws array<struct<shard:int,at:long,pass:int,from_word:long,to_word:long>>")
+    return placed.repartition(parts, "row").mapInArrow(run, "row long, doc_id long, size long, source_size long, target double, taken long, n_shards long, draws array<struct<shard:int,at:long,pass:int,from_word:long,to_word:long>>")
 
 
 _WORD = regex.compile(WORD)
@@ -228,7 +279,8 @@ def _with_draws(docs: DataFrame, **options) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, with the columns of documents: a row for each pass that draws from one.
 
-    A pass that takes all of a document has its text as it is; one that takes some blocks has
+    Null, empty and blank texts aren't drawn; rows that repeat are documents of their own, and a null doc_id
+    stays null. An empty table gives an empty one. A pass that takes all of a document has its text as it is; one that takes some blocks has
     their words, runs of adjoining blocks as lines, and n_chars counts them.
     """
     schema = "doc_id long, text string, lang string, source string, n_chars long"
@@ -246,7 +298,10 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_blocks(docs: DataFrame, shards: int = 64, **options) -> DataFrame:
-    """The mix as shards of shuffled blocks: shard, at, doc_id, text; partition k is shard k, in order."""
+    """The mix as shards of shuffled blocks: shard, at, doc_id, text; partition k is shard k, in order.
+
+    Texts that are null, empty or blank have no block; an empty table gives an empty one.
+    """
     schema = "shard int, at long, doc_id long, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
