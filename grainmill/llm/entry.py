@@ -73,11 +73,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_top_k": """
-            with v as materialized (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
-                where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-            s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
-                from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
-            r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+            with v as materialized (select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+                where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+            s as (select a.n, a.vec_id as query_id, b.vec_id, coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0)::bigint as score
+                from v a join v b on a.n <> b.n where a.vec_id % 50 = 0),
+            r as (select query_id, row_number() over (partition by n order by score desc, vec_id nulls last)::int as rank, vec_id, score from s)
             select query_id, rank, vec_id, score from r where rank <= 5""",
         "op9_url_filter": urlfilter.oracle(),
         "op10_exact_dedup": r"""

@@ -2,8 +2,10 @@
 
 import base64
 import collections
+import fractions
 import hashlib
 import io
+import math
 import re
 import struct
 
@@ -229,23 +231,40 @@ def test_top_k(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "QUERY_BLOCK", block)
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(400)]
-    rows += [(3000 + i, (rng.normal(size=8) * 1e5).round(2).clip(-2e5, 2e5).tolist()) for i in range(60)]
-    rows += [(1000 + i, rows[3][1]) for i in range(30)] + [(2000, None), (2050, [1.0, None]), (2100, [float("nan")]), (2150, [float("inf")] * 8), (2200, []), (2250, rows[7][1][:3]), (None, rows[1][1]), (50, rows[50][1])]
-    found = topk.top_k(spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], VECTORS)).collect()
-    q = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            q[i] = np.pad(np.floor(256 * np.float32(v).astype(float)).astype(int), (0, 8 - len(v)))
-    want = set()
-    for a in q:
-        if a % 50 == 0:
-            best = sorted(((-int(q[a] @ q[b]), b) for b in q if b != a))[:5]
-            want |= {(a, k + 1, b, -s) for k, (s, b) in enumerate(best)}
-    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    rows += [(3000 + i, (rng.normal(size=8) * 1e5).round(2).tolist()) for i in range(60)]
+    rows += [(1000 + i, rows[3][1]) for i in range(30)] + [(2000, None), (2050, [1.0, None]), (2100, [float("nan")]), (2150, [float("inf")] * 8), (2200, []), (2250, rows[7][1][:3]), (None, rows[1][1]), (50, rows[50][1]), (50, rows[51][1]), (7, rows[9][1])]
+    check_top_k(spark, rows)
     assert topk.top_k(spark.createDataFrame([], VECTORS)).count() == 0
     assert [tuple(r) for r in topk.top_k(spark.createDataFrame([(0, [1.0], 0, "x", 1), (1, [2.0], 0, "x", 1)], VECTORS)).collect()] == [(0, 1, 1, 256 * 512)]
 
 
+def check_top_k(spark, rows, found=None):
+    got = topk.top_k(spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], VECTORS), found=found).collect()
+    whole = lambda x: math.floor(256 * fractions.Fraction(float(np.float32(x))))
+    q = [(i, [whole(x) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = collections.Counter()
+    for n, (a, mine) in enumerate(q):
+        if a is not None and a % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(mine, v, strict=False)), b is None, b or 0) for m, (b, v) in enumerate(q) if m != n)[:5]
+            want.update((a, k + 1, None if none else b, max(-(1 << 63), min((1 << 63) - 1, -s))) for k, (s, none, b) in enumerate(best))
+    assert collections.Counter(map(tuple, got)) == want
+
+
+def test_top_k_of_any_size(spark):
+    """Components for which neither doubles nor 64 bits hold the scores."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.integers(0, 38)]) for i in range(200)]
+    check_top_k(spark, rows + [(300, [3e5, 3e5]), (350, [-3.4e38, 3.4e38]), (400, [2.0**26] * 4), (450, [1e-30, -1e-30])])
+
+
+def test_top_k_passes_over_rows(spark):
+    """Of clustered rows few scores are computed."""
+    rng, found = np.random.default_rng(3), []
+    centres = rng.normal(size=(40, 16)) * 20
+    check_top_k(spark, [(i, (centres[i % 40] + rng.normal(size=16)).tolist()) for i in range(3000)], found)
+    assert sum(c for c, _ in found) < 0.2 * sum(n for _, n in found)
+
+
 def test_pseudonyms(spark):
     key = b"k"
     text = "Card 4111 1111 1111 1111, again 4111111111111111; mail jo.doe7@mail.example.com on 2024-02-29 or 31.12.1999. IP 10.0.0.255 call +1 (974) 555-3436, ssn 123-45-6789, GB82 WEST 1234 5698 7654 32."
