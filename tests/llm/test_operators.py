@@ -144,6 +144,36 @@ def test_bpe_equals_the_library(spark):
         assert tok.decode(want) == ref.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_every_code_point():
+    """Between letters, after a combining mark's base, and as capitals: as the library has it."""
+    ref, tok = Reference.from_file(entry.TOKENIZER), Tokenizer(open(entry.TOKENIZER, "rb").read())
+    chars = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b" for c in chars] + ["".join(chars[k : k + 64]) for k in range(0, len(chars), 64)]
+    assert [x for x, want in zip(texts, ref.encode_batch(texts, add_special_tokens=False), strict=True) if tok.encode(x) != want.ids] == []
+
+
+def test_bpe_of_unbroken_text():
+    """A megabyte without a gap, and more states than the machine's table holds."""
+    ref, tok = Reference.from_file(entry.TOKENIZER), Tokenizer(open(entry.TOKENIZER, "rb").read())
+    rng = np.random.default_rng(7)
+    tok.machine.budget = 3 << 20
+    tok.machine._forget()
+    for text in ("a" * 1_000_000, "the" * 300_000, "".join(rng.choice(list("abcdefghijklmnop"), 150_000)), "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 40_000)))):
+        assert tok.encode(text) == ref.encode(text, add_special_tokens=False).ids
+        assert tok.machine.bytes < 4 << 20
+
+
+def test_automaton_accepts_correct_tokenisations():
+    """A pair of tokens follows an arc just where encoding their bytes gives back the pair."""
+    ref, tok = Reference.from_file(entry.TOKENIZER), Tokenizer(open(entry.TOKENIZER, "rb").read())
+    a, rng = tok.machine.automaton, np.random.default_rng(3)
+    plain = [i for i in a.labels if not a.ends[i] and a.spelt[i].isalpha() and a.spelt[i].islower()]
+    last = [i for i in a.labels if a.ends[i] and a.spelt[i].isalpha() and a.spelt[i].islower()]
+    for x, y in zip(rng.choice(plain, 4000).tolist(), rng.choice(last, 4000).tolist(), strict=True):
+        want = ref.encode((a.spelt[x] + a.spelt[y]).decode(), add_special_tokens=False).ids == [x, y]
+        assert a.arc(a.target[x], y) == want
+
+
 def test_bpe_query(spark, odd):
     ref = Reference.from_file(entry.TOKENIZER)
     rows = [*odd, *((2000 + i, t, "a") for i, t in enumerate(TEXTS))]
