@@ -1,12 +1,21 @@
 """URL filter by rules and link-graph propagation, in DataFrame operations only.
 
-Rules decide a url where one fits. The rest is decided per host: trust spreads along links from
-hosts whose pages rules allow (personalised PageRank), distrust against them from hosts
-whose pages rules block: who links there is suspect. A host's seed is the share of
-its pages that rules allow or block. Where distrust exceeds trust by more than half, the host is blocked.
-
-Edges are the distinct pairs of hosts in absolute and protocol-relative links, with
-every host linked to itself, for relative links stay there. Counts and sums
+Rules decide a url where one fits. The rest is decided per host, by scores over the links between
+different hosts (a host's links to itself say nothing). A host's seed is the share of its pages that rules
+allow or block.
+
+Trust is personalised PageRank from the allowed seeds t along links:
+T(h) = (1 - d) t(h) + d * sum of T(s) / (hosts that s links to), over hosts s that link to h.
+Distrust goes from the blocked seeds b against links, as the mean over the hosts that h links to:
+D(h) = max(b(h), (1 - d) b(h) + d * mean of D(s)). So it doesn't matter how many others link to a
+blocked host, and D never falls below the host's own seed. A host without links has T = t and D = b.
+Where distrust exceeds trust by more than MARGIN, the host is blocked.
+
+Scores rise from the seeds, step by step. What the steps to come can add is bounded: to any D by
+d / (1 - d) times the largest last rise, to all T together by d / (1 - d) times the sum of the last rises. Steps go on
+until these bounds settle every host, or are below EXACT, so the verdicts are those of the limit.
+
+Edges are the distinct pairs of hosts in absolute and protocol-relative links. Counts and sums
 are pre-aggregated before each shuffle, and host scores meet their edges in equi-joins that
 adaptive execution may split.
 """
@@ -16,11 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.session import settle
+from grainmill.session import drop_settled, settle
 
 #: (verdict, host/path) of the rules in force.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DAMPING, STEPS, MARGIN = 0.85, 4, 0.5
+DAMPING, MARGIN, EXACT = 0.85, 0.5, 1e-6
+#: Steps between two looks at the bounds.
+STEPS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
@@ -46,46 +57,56 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """Distinct (src, dst) hosts of links, with a loop at every host."""
+    """Distinct (src, dst) of links between different hosts."""
     links = pages.select("host", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))).alias("link"))
     target, _ = split_url(F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link")))
-    out = links.select(F.col("host").alias("src"), target.alias("dst")).where("dst <> ''")
-    return out.unionByName(pages.select(F.col("host").alias("src"), F.col("host").alias("dst"))).where("src <> ''").distinct()
-
-
-def _spread(edges: DataFrame, seeds: DataFrame, source: str, target: str) -> DataFrame:
-    """(host, score) after STEPS steps of personalised PageRank from `seeds` along the edges."""
-    out = edges.groupBy(F.col(source).alias("host")).agg(F.count("*").alias("degree"))
-    shared = edges.select(F.col(source).alias("host"), F.col(target).alias("to")).join(out, "host")
-    now = seeds
-    for _ in range(STEPS):
-        moved = shared.join(now, "host").select(F.col("to").alias("host"), (F.lit(DAMPING) * F.col("score") / F.col("degree")).alias("score"))
-        back = seeds.select("host", (F.lit(1 - DAMPING) * F.col("score")).alias("score"))
-        now = moved.unionByName(back).groupBy("host").agg(F.sum("score").alias("score"))
-    return now
+    return links.select(F.col("host").alias("src"), target.alias("dst")).where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def _suspicion(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(host, score) after STEPS steps of distrust from `seeds` against the edges.
+def propagate(edges: DataFrame, seeds: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """(host, trust, distrust), settled, of all hosts in edges (src, dst) and seeds (host, trust, distrust).
 
-    A host takes the mean over the hosts that it links to, so a score doesn't shrink with
-    the number of others that link there; it is never below the host's own seed.
+    Scores are those of the limit as far as it matters to whether distrust exceeds trust by more than `margin`.
     """
-    out = edges.groupBy(F.col("src").alias("host")).agg(F.count("*").alias("degree"))
-    shared = edges.select(F.col("dst").alias("host"), F.col("src").alias("to")).join(out.withColumnRenamed("host", "to"), "to")
-    now = seeds
-    for _ in range(STEPS):
-        moved = shared.join(now, "host").select(F.col("to").alias("host"), (F.lit(DAMPING) * F.col("score") / F.col("degree")).alias("score"), F.lit(0.0).alias("seed"))
-        back = seeds.select("host", (F.lit(1 - DAMPING) * F.col("score")).alias("score"), F.col("score").alias("seed"))
-        now = moved.unionByName(back).groupBy("host").agg(F.greatest(F.sum("score"), F.max("seed")).alias("score"))
-    return now
+    degree = edges.groupBy(F.col("src").alias("host")).agg(F.count("*").alias("degree"))
+    #: Trust goes along an edge and distrust against it, both by the linking host's share.
+    ways = settle(edges.join(degree.withColumnRenamed("host", "src"), "src"), "links")
+    along = ways.select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.lit(DAMPING) / F.col("degree")).alias("t"), F.lit(0.0).alias("d"))
+    against = ways.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.lit(DAMPING) / F.col("degree")).alias("d"))
+    moves = along.unionByName(against)
+    own = seeds.select("host", (F.lit(1 - DAMPING) * F.col("trust")).alias("t"), (F.lit(1 - DAMPING) * F.col("distrust")).alias("d"), F.col("distrust").alias("least"))
+    zero = F.lit(0.0)
+
+    def step(now: DataFrame) -> DataFrame:
+        moved = moves.join(now.select("host", "trust", "distrust"), "host").select(F.col("to").alias("host"), (F.col("t") * F.col("trust")).alias("t"), (F.col("d") * F.col("distrust")).alias("d"), zero.alias("least"), zero.alias("trust"), zero.alias("distrust"))
+        kept = own.select("host", "t", "d", "least", zero.alias("trust"), zero.alias("distrust")).unionByName(now.select("host", zero.alias("t"), zero.alias("d"), zero.alias("least"), "trust", "distrust"))
+        new = moved.unionByName(kept).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"), F.max("least").alias("least"), F.max("trust").alias("trust_was"), F.max("distrust").alias("distrust_was"))
+        return new.select("host", F.greatest("t", "trust_was").alias("trust"), F.greatest("d", "least", "distrust_was").alias("distrust"), "trust_was", "distrust_was")
+
+    linked = ways.select(F.col("src").alias("host")).unionByName(ways.select(F.col("dst").alias("host"))).distinct()
+    now = own.join(linked, "host", "left_semi").select("host", F.col("t").alias("trust"), F.col("least").alias("distrust"))
+    apart = seeds.join(linked, "host", "left_anti").select("host", "trust", "distrust")
+    own = settle(own.join(linked, "host", "left_semi"), "linked-seeds")
+    now = settle(now, "scores")
+    while True:
+        last = now
+        for _ in range(STEPS):
+            now = step(now)
+        now = settle(now, "scores")
+        drop_settled(last)
+        rise = now.agg(F.max(F.col("distrust") - F.col("distrust_was")), F.sum(F.col("trust") - F.col("trust_was"))).first()
+        more_d, more_t = (DAMPING / (1 - DAMPING) * (x or 0.0) for x in rise)
+        gap = F.col("distrust") - F.col("trust")
+        open_ = now.where((gap + more_d > margin) & (gap - more_t <= margin))
+        if max(more_d, more_t) < EXACT or open_.isEmpty():
+            return now.select("host", "trust", "distrust").unionByName(apart)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 
     A url that is null or has no `://` has an empty host and path: no rule fits, no link leads
-    there, and it is allowed. Null html has no links. Rows that repeat each give
+    there, and it is allowed. Null html has no links. A host that neither rules nor links judge is allowed. Rows that repeat each give
     a row, null page_ids stay, other columns are left aside; an empty table gives an empty one.
     """
     host, path = split_url(F.col("url"))
@@ -93,11 +114,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     ruled = named.select("page_id", "html", "host", "path", matched_rule(F.col("host"), F.col("path"), rules).alias("found"))
     edges = settle(host_edges(named), "edges")
     share = ruled.where("host <> ''").groupBy("host").agg(F.avg(F.when(F.col("found.verdict") == "allow", 1.0).otherwise(0.0)).alias("trust"), F.avg(F.when(F.col("found.verdict") == "block", 1.0).otherwise(0.0)).alias("distrust"))
-    share = settle(share, "seeds")
-    trust = _spread(edges, share.where("trust > 0").select("host", F.col("trust").alias("score")), "src", "dst")
-    distrust = _suspicion(edges, share.where("distrust > 0").select("host", F.col("distrust").alias("score")))
-    both = distrust.select("host", "score").unionByName(trust.select("host", (-F.col("score")).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
-    bad = settle(both.where(F.col("score") > MARGIN + 1e-9).select("host", F.lit("block").alias("by_links")), "blocked_hosts")
+    share = settle(share.where("trust > 0 or distrust > 0"), "seeds")
+    bad = settle(propagate(edges, share).where(F.col("distrust") - F.col("trust") > MARGIN + EXACT).select("host", F.lit("block").alias("by_links")), "blocked_hosts")
     return ruled.select("page_id", "host", "path", "found").join(bad, "host", "left").select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", "by_links", F.lit("allow")).alias("verdict"))
 
 
@@ -108,37 +126,33 @@ def _sql_split(url: str) -> tuple[str, str]:
     return f"case when {none} then '' else {host} end", f"case when {none} then '' else regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) end"
 
 
-def oracle(rules=RULES) -> str:
-    """The same in DuckDB SQL where hosts have no links between them; else it divides distrust by in-degree."""
+def oracle(rules=RULES, steps: int = 150) -> str:
+    """The same in DuckDB SQL, by a number of steps after which scores move by less than EXACT."""
     host, path = _sql_split("url")
     target, _ = _sql_split("link")
     link = LINK.replace("'", "''")
     rows = ", ".join("({}, '{}', '/{}', '{}', '{}')".format(len(r), r.partition("/")[0], r.partition("/")[2], r, v) for v, r in rules)
-
-    def spread(name: str, seed: str, a: str, b: str) -> str:
-        step = "select host, score from {n}{k}".format
-        parts = [f"{name}0 as materialized (select host, {seed} as score from seeds where {seed} > 0)", f"{name}deg as materialized (select {a} as host, count(*) as degree from edges group by 1)"]
-        for k in range(STEPS):
-            parts.append(
-                f"{name}{k + 1} as materialized (select host, sum(score) as score from (select e.{b} as host, {DAMPING} * s.score / d.degree as score"
-                f" from edges e join {name}deg d on d.host = e.{a} join ({step(n=name, k=k)}) s on s.host = e.{a}"
-                f" union all select host, {1 - DAMPING} * score from {name}0) group by host)"
-            )
-        return ",\n".join(parts)
-
     return f"""
-        with named as materialized (select page_id, html, {host} as host, {path} as path from pages),
+        with recursive named as materialized (select page_id, html, {host} as host, {path} as path from pages),
         rules(len, rhost, rpath, rule, verdict) as (values {rows}),
         urls as materialized (select distinct host, path from named),
         ruled as materialized (select host, path, max_by(rule, len) as rule, max_by(verdict, len) as verdict from urls join rules
             on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by host, path),
         links as (select host, unnest(regexp_extract_all(html, '{link}', 1)) as found from named),
         goal as (select host as src, case when starts_with(found, '//') then 'http:' || found else found end as link from links),
-        edges as materialized (select distinct src, dst from (select src, {target} as dst from goal union all select host, host from named) where src <> '' and dst <> ''),
-        seeds as materialized (select host, avg(case when verdict = 'allow' then 1.0::double else 0 end) as trust, avg(case when verdict = 'block' then 1.0::double else 0 end) as distrust
+        edges as materialized (select distinct src, dst from (select src, {target} as dst from goal) where src <> '' and dst <> '' and src <> dst),
+        share as materialized (select host, avg(case when verdict = 'allow' then 1.0::double else 0 end) as t, avg(case when verdict = 'block' then 1.0::double else 0 end) as d
             from named left join ruled using (host, path) where host <> '' group by host),
-        {spread("t", "trust", "src", "dst")},
-        {spread("d", "distrust", "dst", "src")},
-        bad as (select host from (select host, score from d{STEPS} union all select host, -score from t{STEPS}) group by host having sum(score) > {MARGIN + 1e-9})
+        linked as materialized (select src as host from edges union select dst from edges),
+        own as materialized (select host, coalesce(t, 0) as t, coalesce(d, 0) as d from linked left join share using (host)),
+        deg as materialized (select src, {DAMPING} / count(*) as part from edges group by src),
+        score as (select 0 as k, host, {1 - DAMPING} * t as t, d from own
+            union all select k, host, sum(t) as t, greatest(sum(d), max(least)) as d from (
+                select s.k + 1 as k, e.dst as host, part * s.t as t, 0 as d, 0 as least from score s join edges e on e.src = s.host join deg on deg.src = e.src where s.k < {steps}
+                union all select s.k + 1, e.src, 0, part * s.d, 0 from score s join edges e on e.dst = s.host join deg on deg.src = e.src where s.k < {steps}
+                union all select s.k + 1, o.host, {1 - DAMPING} * o.t, {1 - DAMPING} * o.d, o.d from score s join own o on o.host = s.host where s.k < {steps})
+            group by k, host),
+        bad as materialized (select host from (select host, t, d from score where k = {steps} union all select host, t, d from share where host not in (select host from linked))
+            where d - t > {MARGIN + EXACT})
         select page_id, host, path, rule, coalesce(verdict, case when host in (select host from bad) then 'block' end, 'allow') as verdict
         from named left join ruled using (host, path)"""
