@@ -4,18 +4,21 @@ Each permutation gives two signature values, its minimum and its maximum over th
 document's shingles, so 128 values cost 64 hash evaluations a shingle. Both estimate the
 Jaccard similarity without bias, and the mean over both has the lower variance.
 Bands of four minima, and bands of four maxima, of the same permutations find
-candidates: two sets with similarity 0.75 miss all 32 bands with probability 5e-6.
+candidates: two sets with similarity 0.75 miss all 32 bands with probability 5e-6, more
+similar ones less often. Every link is confirmed on full sets, so none is false.
 
 Steps, none of which emits all pairs of a group or collects one:
 
-1. One Arrow pass gives each document its set size, a digest of its set and its signature.
-   Equal sets become one node (a 64-bit prefix of the digest), so exact copies cost nothing further.
+1. Rows are written once with numbers of their own, so nothing depends on doc_ids being there or distinct. One
+   Arrow pass gives each row its set size, a 128-bit digest of its set and its signature.
+   Rows with equal sets become one node, which has the smallest row number of them, so exact copies cost
+   nothing further.
 2. Buckets of a band are stars: every member is checked against the smallest one.
    Confirmed stars are joined into components.
 3. Buckets that still hold several components are searched in blocks of bounded size:
    pairs from different components whose signatures agree in 72 of the 128 values are
    checked on their full sets within the task, and only links that join components leave
-   it. So no link that joins two components is left out, and what is emitted stays in
+   it. A pair at 0.75 agrees in fewer with probability 1e-6. What is emitted stays in
    proportion to the members.
 """
 
@@ -71,18 +74,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
+        rows = batch.column(0)
         for first, sets in shingle_sets(batch.column(1)):
             sizes = np.array([len(s) for s in sets], np.int64)
-            nodes = [None if not len(s) else _node(s) for s in sets]
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             full = [s for s in sets if len(s)]
             sigs = iter(signatures(full)) if full else iter(())
             sig = [next(sigs).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(sizes), pa.array(nodes, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
-
-
-def _node(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+            yield pa.RecordBatch.from_arrays([rows.slice(first, len(sets)), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(sig, pa.binary())], ["row", "n_shingles", "digest", "sig"])
 
 
 def _rows_of(column: pa.Array) -> np.ndarray:
@@ -215,42 +214,58 @@ def _rest(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, texts: DataFra
     return met.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(_settle_block(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def near_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(row, n_shingles, class), settled, for docs (row, text), a table that reads the same rows each time.
 
-    docs: any DataFrame with doc_id (long) and text; other columns, whatever their
-    names, are left aside. component_id is the smallest doc_id that links reach, kept
-    is doc_id = component_id. A text that is null, empty or blank has no shingles and
-    links with nothing. Rows that repeat a doc_id each give a row; a null doc_id gets the
-    smallest id of its component (null if there is none) and kept is false. An empty
-    table gives an empty one.
+    row: a number of each row's own. class: the smallest row of the class of rows that links join, null for a text without words.
     """
-    docs = docs.select("doc_id", "text")
-    sketched = settle(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, node long, sig binary"), "sketches")
-    narrow = sketched.select("doc_id", "n_shingles", "node")
-    nodes = settle(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "nodes")
+    sketched = settle(docs.select("row", "text").mapInArrow(_sketch, "row long, n_shingles long, digest binary, sig binary"), "sketches")
+    nodes = settle(sketched.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "nodes")
     members = nodes.select("node", "sig").mapInArrow(_bucket, "bucket long, node long")
     stars = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1").select("bucket", "centre")
     shared = settle(members.join(stars, "bucket"), "buckets")
     pairs = settle(shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = settle(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text").mapInArrow(_own_text, "node long, text string"), "texts")
+    wanted = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    texts = settle(docs.select("row", "text").join(wanted, "row", "left_semi").select(F.col("row").alias("node"), "text"), "texts")
     found = settle(confirm(pairs, texts, percent), "links")
     roots = settle(components(found), "roots")
     more = settle(_rest(shared.select("bucket", "node"), nodes, roots, texts, percent), "links")
     if not more.isEmpty():
         roots = settle(components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+    #: A row a set; settled, so that the join has exchanges of its own, which can be split where many rows share a set.
+    classes = settle(nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class")), "classes")
     drop_settled(pairs, texts, shared, found, more, nodes)
-    of = narrow.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("class"))
-    #: Settled, so that the join has exchanges of its own, which can be split where a class is large.
-    least = settle(of.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1").drop("size"), "classes")
+    return settle(sketched.select("row", "n_shingles", "digest").join(classes, "digest", "left").select("row", "n_shingles", "class"), "row-classes")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    docs: any DataFrame with doc_id (long) and text; other columns, whatever their
+    names, are left aside. component_id is the smallest doc_id that links reach, kept
+    is doc_id = component_id. A text that is null, empty or blank has no shingles and
+    links with nothing. Rows that repeat a doc_id each give a row; a null doc_id gets the
+    smallest id of its component (null if there is none) and kept is false. An empty
+    table gives an empty one.
+    """
+    rows = settle(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "rows")
+    of = near_classes(rows, percent).join(rows.select("row", "doc_id"), "row")
+    least = settle(of.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1").drop("size"), "components")
     out = of.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Where rows repeat a doc_id, or have none, only the text that the node stands for."""
-    for batch in batches:
-        nodes = batch.column(0).to_pylist()
-        keep = [first + k for first, sets in shingle_sets(batch.column(1)) for k, s in enumerate(sets) if len(s) and _node(s) == nodes[first + k]]
-        yield batch.take(pa.array(keep, pa.int64()))
+def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs that stay, with all their columns: one of each class that links join.
+
+    Of a class the row with the smallest doc_id stays; of several with it, or where none has one, one of
+    them. Texts that are null, empty or blank link with nothing and all stay. Column names
+    but `__row` are free. An empty table gives an empty one.
+    """
+    rows = settle(docs.select("*", F.monotonically_increasing_id().alias("__row")), "rows")
+    of = near_classes(rows.select(F.col("__row").alias("row"), "text"), percent)
+    ids = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("__row")
+    keep = of.where("class is not null").join(ids, "row").groupBy("class").agg(first).select("__row")
+    keep = keep.unionByName(of.where("class is null").select(F.col("row").alias("__row")))
+    return rows.join(keep, "__row", "left_semi").drop("__row")

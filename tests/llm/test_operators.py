@@ -23,23 +23,12 @@ from grainmill.session import shared_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, node string, size string, sha string"
 WORD = re.compile("[^\x20\x09-\x0d]+")
-LONG = " ".join(f"word{i}" for i in range(400_000))
 
 
 def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, 0 if t is None else len(t), 7, "x", "y", "z") for i, t, s in rows], DOCS)
 
 
-@pytest.fixture(scope="module")
-def odd(spark):
-    rng = np.random.default_rng(4)
-    base = [" ".join(rng.choice(["la", "le", "Un", "do", "ka", "re", "ti"], 60)) for _ in range(12)]
-    rows = [(1, None, "a"), (2, "", "a"), (3, "  \t\n", None), (4, "One two", "b"), (5, "one  TWO", "b"), (6, "one two", "b"), (7, "x", "c"), (8, "x", "c"), (8, "x", "c"), (None, "x", "c"), (None, None, None), (9, LONG, "b")]
-    rows += [(100 + 10 * i + k, b if not k else b.replace("la", "LA", k) + " end" * k, f"s{i % 3}") for i, b in enumerate(base) for k in range(4)]
-    rows += [(500 + i, base[0] + f" tail{i}", "hot") for i in range(60)] + [(900 + i, base[1], "hot") for i in range(40)]
-    return rows
-
-
 def test_exact_dedup(spark, odd):
     found = exact_duplicates(docs_of(spark, odd), 3, 2).collect()
     norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
