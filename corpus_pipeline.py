@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from grainmill.llm.bpe import encode_digests
 from grainmill.llm.entry import TOKENIZER
 from grainmill.llm.exactdedup import without_duplicates
-from grainmill.llm.minhash import near_duplicates
+from grainmill.llm.minhash import without_near_duplicates
 from grainmill.llm.mixing import mix_documents
 from grainmill.llm.quality import keep_good
 from grainmill.session import settle
@@ -30,10 +30,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of near duplicates; a row without doc_id can't be named and stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    named = docs.select(COLUMNS).join(kept, "doc_id", "left_semi").select(COLUMNS)
-    return named.unionByName(docs.select(COLUMNS).where("doc_id is null"))
+    """One document of each group of near duplicates, whether or not it has a doc_id."""
+    return without_near_duplicates(docs.select(COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
