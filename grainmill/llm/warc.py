@@ -8,8 +8,14 @@ without that field, as other tools write them, and plain files are read too; the
 bytes of an unwanted payload are passed over without being kept.
 
 Columns: record_id, record_type, target_uri, date, payload_digest, refers_to (strings, from
-WARC headers), payload_length (of the HTTP header, else of the block) and payload. Options: path,
-payload (false leaves payloads null), partition_bytes. Paths are those of pyarrow.fs.
+WARC headers), payload_length (of the HTTP header, else of the block), payload, and damage, which is null
+for a whole record. Options: path, payload (false leaves payloads null), partition_bytes, mode. Paths
+are those of pyarrow.fs.
+
+A record is damaged if its header ends early or gives no length, if its block is shorter than said, or if its member
+can't be inflated or fails its checksum. mode FAILFAST (the default) raises an error that names the file
+and place; PERMISSIVE gives a row that says what is wrong, with what was read of the payload, and goes on with the next
+member or record that begins like one. A payload that nobody wants is skipped unread, and so is damage in it.
 """
 
 from __future__ import annotations
@@ -30,8 +36,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from grainmill.session import settle, shared_path
 
-SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_length long, payload binary"
-_ARROW = pa.schema([(c, pa.string()) for c in ("record_id", "record_type", "target_uri", "date", "payload_digest", "refers_to")] + [("payload_length", pa.int64()), ("payload", pa.binary())])
+SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_length long, payload binary, damage string"
+_ARROW = pa.schema([(c, pa.string()) for c in ("record_id", "record_type", "target_uri", "date", "payload_digest", "refers_to")] + [("payload_length", pa.int64()), ("payload", pa.binary()), ("damage", pa.string())])
 _HEADER = {"record_id": b"warc-record-id", "record_type": b"warc-type", "target_uri": b"warc-target-uri", "date": b"warc-date", "payload_digest": b"warc-payload-digest", "refers_to": b"warc-refers-to"}
 READ, FILE_BYTES, PARTITION_BYTES, BATCH_BYTES = 1 << 16, 128 << 20, 32 << 20, 8 << 20
 
@@ -131,38 +137,83 @@ def _fields(head: bytes) -> dict[bytes, str]:
     return found
 
 
-def read_records(file, wanted, payload: bool) -> Iterator[dict]:
+class Damaged(ValueError):
+    """A record that isn't whole."""
+
+
+def _length(fields: dict[bytes, str]) -> int:
+    text = fields.get(b"content-length", "")
+    if not (text.isascii() and text.isdigit()):
+        raise Damaged("no length in the header")
+    return int(text)
+
+
+def _next_start(src: _Source, after: int) -> int:
+    """Where the next gzip member or plain record begins."""
+    src.at = after
+    while src.at < src.size:
+        part = src.peek()
+        found = [k for mark in (b"\x1f\x8b\x08", b"WARC/1.") if (k := part.find(mark)) >= 0]
+        if found:
+            return src.at + min(found)
+        src.at += max(1, len(part) - 8)
+    return src.size
+
+
+def _record(m: _Member, row: dict, wanted, payload: bool) -> int:
+    """Fills the row from a record, or marks it as one to skip; returns where its block ends."""
+    body = m.until(b"\r\n\r\n")
+    if body < 0 or not m.out.startswith(b"WARC/"):
+        raise Damaged("the header ends early" if body < 0 else "no WARC header")
+    fields = _fields(m.out[: body - 4])
+    row |= {c: fields.get(h) for c, h in _HEADER.items()}
+    row["refers_to"], row["record_id"] = (x.strip("<>") if x else x for x in (row["refers_to"], row["record_id"]))
+    end = body + _length(fields)
+    if not wanted(row):
+        row["skip"] = True
+        return end
+    start, row["payload_length"] = body, end - body
+    if fields.get(b"content-type", "").startswith("application/http"):
+        start = m.until(b"\r\n\r\n", body)
+        if not 0 <= start <= end:
+            start = end
+        inner = _fields(m.out[body:start]).get(b"content-length", "")
+        row["payload_length"] = int(inner) if inner.isascii() and inner.isdigit() else end - start
+    if payload and row["record_type"] != "revisit":
+        row["payload"] = m.take(start, end)
+        if len(row["payload"]) < end - start:
+            raise Damaged(f"{len(row['payload'])} of {end - start} bytes")
+        if m.gz is not None and m.skip is None and not m.gz.eof:
+            m.take(start, end + 5)  # to the checksum behind the block
+    return end
+
+
+def read_records(file, wanted, payload: bool, permissive: bool = False) -> Iterator[dict]:
     """The records of one open file whose header columns are `wanted`."""
     src = _Source(file)
     while src.at < src.size:
         if src.peek(2) == b"\r\n":
             src.at += 2
             continue
-        m = _Member(src)
-        body = m.until(b"\r\n\r\n")
-        if body < 0:
-            return
-        fields = _fields(m.out[: body - 4])
-        end = body + int(fields.get(b"content-length", 0))
-        row = {c: fields.get(h) for c, h in _HEADER.items()}
-        row["refers_to"], row["record_id"] = (x.strip("<>") if x else x for x in (row["refers_to"], row["record_id"]))
-        if wanted(row):
-            start = body
-            row["payload_length"] = end - body
-            if fields.get(b"content-type", "").startswith("application/http"):
-                start = m.until(b"\r\n\r\n", body)
-                if not 0 <= start <= end:
-                    start = end
-                row["payload_length"] = int(_fields(m.out[body:start]).get(b"content-length", end - start))
-            row["payload"] = m.take(start, end) if payload and row["record_type"] != "revisit" else None
-            yield row
-        m.leave(end)
+        m, row = _Member(src), dict.fromkeys([*_HEADER, "payload_length", "payload", "damage"])
+        try:
+            end = _record(m, row, wanted, payload)
+            if not row.pop("skip", False):
+                yield row
+            m.leave(end)
+        except (Damaged, zlib.error) as e:
+            if not permissive:
+                raise ValueError(f"damaged record at byte {m.begin}: {e}") from e
+            row.pop("skip", None)
+            yield row | {"damage": str(e)}
+            src.at = _next_start(src, m.begin + 1)
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payload = options["path"], options.get("payload", "true") != "false"
         self.limit = int(options.get("partition_bytes", PARTITION_BYTES))
+        self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters):
@@ -193,12 +244,18 @@ class WarcReader(DataSourceReader):
     def _wanted(self, row: dict) -> bool:
         return all(row[c] in x if kind == "in" else (row[c] is None) == x for c, kind, x in self.tests)
 
+    def _records(self, name: str, file) -> Iterator[dict]:
+        try:
+            yield from read_records(file, self._wanted, self.payload, self.permissive)
+        except ValueError as e:
+            raise ValueError(f"{name}: {e}") from e
+
     def read(self, partition):
         store, _ = fs.FileSystem.from_uri(self.path)
         rows, size = [], 0
         for name in partition.names:
             with store.open_input_file(name) as f:
-                for row in read_records(f, self._wanted, self.payload):
+                for row in self._records(name, f):
                     rows.append(row)
                     size += 500 + len(row["payload"] or b"")
                     if size > BATCH_BYTES:
@@ -297,10 +354,10 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payload = [x or b"" for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(payload, pa.binary()), pa.array([digest(p) for p in payload], pa.string()), pa.array(map(len, payload), pa.int64())], ["page_id", "url", "payload", "digest", "length"])
+def base32_sha1(payload):
+    """The same of a binary column, by column functions: each 40 bits are eight digits of base 32."""
+    parts = [F.lpad(F.conv(F.substring(F.sha1(payload), k, 10), 16, 32), 8, "0") for k in (1, 11, 21, 31)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def write_pages(pages: DataFrame, path: str, at_least: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -308,14 +365,16 @@ def write_pages(pages: DataFrame, path: str, at_least: int = 0, date: str = "202
 
     Of pages with equal payloads of at least `at_least` bytes the one with the largest page_id is
     a response and the others revisit it; all others are responses. Where rows repeat
-    that largest page_id, each of them is a response; where none has an id, all are. A
+    that largest page_id, each of them is a response; where none has an id, all are. Payloads
+    are equal if their lengths, SHA-1 and SHA-256 are. A
     null html is an empty payload; a page without url has no target uri.
     """
     register(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("binary").alias("payload")).mapInArrow(_with_digest, "page_id long, url string, payload binary, digest string, length long")
-    same = rows.groupBy("digest", "length").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies")).where((F.col("copies") > 1) & (F.col("length") >= at_least) & F.col("first_id").isNotNull())
-    same = settle(same.select("digest", "length", "first_id"), "payloads")
-    met = rows.join(same, ["digest", "length"], "left")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    rows = rows.withColumn("digest", base32_sha1("payload")).withColumn("sha256", F.unhex(F.sha2("payload", 256))).withColumn("length", F.octet_length("payload").cast("long"))
+    same = rows.groupBy("sha256", "digest", "length").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies")).where((F.col("copies") > 1) & (F.col("length") >= at_least) & F.col("first_id").isNotNull())
+    same = settle(same.select("sha256", "digest", "length", "first_id"), "payloads")
+    met = rows.join(same, ["sha256", "digest", "length"], "left")
     revisit = F.col("first_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     out = met.select(
@@ -333,7 +392,11 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from the archives of `pages`."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from the archives of `pages`.
+
+    Null html is an empty payload. Rows that repeat a page_id, or have none, each are a record; a null page_id stays null
+    and is a response only where no equal payload has an id. Other columns are left aside, and an empty table gives an empty one.
+    """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_pages(pages, path)

@@ -358,12 +358,46 @@ def test_warc_forms():
     raw = [warc.record_bytes(r) for r in rows]
     for data in (b"".join(raw), b"".join(map(gzip.compress, raw)), b"".join(map(warc.gzip_member, raw))):
         got = list(warc.read_records(_File(data), lambda r: True, True))
+        assert not any(r["damage"] for r in got)
         assert [(r["record_id"], r["payload_length"], r["payload"]) for r in got] == [(r["record_id"], r["payload_length"], None if r["record_type"] == "revisit" else r["payload"]) for r in rows]
         assert [r["record_id"] for r in warc.read_records(_File(data), lambda r: r["record_type"] == "revisit", True)] == ["urn:2"]
         assert all(r["payload"] is None for r in warc.read_records(_File(data), lambda r: True, False))
     assert gzip.decompress(warc.gzip_member(raw[0])) == raw[0]
 
 
+def _damage(data, **options):
+    return [(r["record_id"], r["damage"] is not None, len(r["payload"] or b"")) for r in warc.read_records(_File(data), lambda r: True, True, True, **options)]
+
+
+def test_damaged_warc():
+    import gzip
+
+    rng = np.random.default_rng(1)
+    rows = [{"record_id": f"urn:{k}", "record_type": "response", "target_uri": "u", "date": "d", "payload_digest": "sha1:x", "refers_to": None, "payload_length": 50_000, "payload": rng.bytes(50_000)} for k in range(3)]
+    raw = [warc.record_bytes(r) for r in rows]
+    for form in (lambda x: x, gzip.compress, warc.gzip_member):
+        parts = [form(x) for x in raw]
+        cut = b"".join(parts)[:-20_000]
+        assert [(i, d) for i, d, _ in _damage(cut)] == [("urn:0", False), ("urn:1", False), ("urn:2", True)] and _damage(cut)[-1][2] < 50_000
+        with pytest.raises(ValueError, match="damaged record at byte"):
+            list(warc.read_records(_File(cut), lambda r: True, True))
+        head = parts[0] + form(raw[1][:100])
+        assert _damage(head) == [("urn:0", False, 50_000), (None, True, 0)]
+        bad = raw[1].replace(b"Content-Length: ", b"Content-Length: x", 1)
+        assert [(i, d) for i, d, _ in _damage(parts[0] + form(bad) + parts[2])] == [("urn:0", False), ("urn:1", True), ("urn:2", False)]
+    for form in (gzip.compress, warc.gzip_member):
+        parts = [bytearray(form(x)) for x in raw]
+        parts[1][20_000:20_100] = bytes(100)
+        found = _damage(b"".join(parts))
+        assert found[0] == ("urn:0", False, 50_000) and found[-1] == ("urn:2", False, 50_000) and any(d for _, d, _ in found)
+
+
+def test_base32_sha1(spark):
+    rows = [(k, np.random.default_rng(k).bytes(k * 7)) for k in range(60)]
+    for r in spark.createDataFrame(rows, "k long, x binary").select("k", "x", warc.base32_sha1("x").alias("d")).collect():
+        assert r["d"] == base64.b32encode(hashlib.sha1(bytes(r["x"])).digest()).decode()
+
+
 def test_url_filter(spark):
     from grainmill.llm.urlfilter import judge
 
