@@ -50,7 +50,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms(_table(spark, sf_dir, "documents"))
+    """By the key in the session's setting; the synthetic tables have one of their own, which is no secret."""
+    return pseudonyms(_table(spark, sf_dir, "documents"), spark.conf.get("spark.grainmill.pseudonymKey", "key of the synthetic tables").encode())
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ names, or two digits last) and mail addresses. Each value is read as a number
 below the size of its format, permuted by a keyed Feistel network (walking cycles until the
 result is in the format again), and written back with its own separators and with a fresh
 check digit. The key and the kind alone fix the permutation, so equal values get
-equal pseudonyms in every document, and nothing but the key is shared between tasks.
+equal pseudonyms in every document, however they are written, and nothing but the key is shared between
+tasks. A phone number keeps its country code, if it has one; what is permuted is the number within the country.
 """
 
 from __future__ import annotations
@@ -34,15 +35,17 @@ _DATES = "|".join((
 ))
 _BEFORE = (
     r"(?P<mail>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-]))"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?P<iban>(?<!\w)[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     rf"|(?P<date>(?<![\w./-])(?:{_DATES})(?:(?=[Tt]\d\d)|(?![\w]|[./-]\d)))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
+    r"|(?P<ssn>(?<![\w-])(?:\d{3}-\d{2}-\d{4}|(?<!\d )\d{3} \d{2} \d{4}(?! \d))(?![\w-]))"
 )
 _RUN = r"|(?P<run>(?<!\w)\d(?:[ -]?\d){12,}(?!\w|[./]\d))"
 _AFTER = r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w))"
 _FIND, _REST = re.compile(_BEFORE + _RUN + _AFTER, re.ASCII), re.compile(_BEFORE + _AFTER, re.ASCII)
 _LIKELY, _GROUP, _MARK, _WORDS = re.compile(r"[0-9@]"), re.compile(r"[0-9]+"), re.compile(r"[^0-9]"), re.compile(r"[A-Za-z]+")
+# Country codes of one and of two digits; all others have three.
+_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 #: Lengths of the groups in which card numbers of several groups are written.
 CARD_GROUPS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 1))
 
@@ -108,32 +111,42 @@ def _card(text: str, key: bytes) -> str | None:
 
 
 def _iban(text: str, key: bytes) -> str | None:
-    c = text.replace(" ", "")
+    c = text.replace(" ", "").upper()
     number = lambda s: int("".join(str(int(x, 36)) for x in s))
-    if not 15 <= len(c) <= 34 or number(c[4:] + c[:4]) % 97 != 1:
+    while len(c) >= 15 and not (len(c) <= 34 and number(c[4:] + c[:4]) % 97 == 1):
+        # a short word that follows may have been taken for the last group
+        text, space, _ = text.rpartition(" ")
+        if not space:
+            return None
+        c = text.replace(" ", "").upper()
+    if len(c) < 15:
         return None
     body = _mixed(c[4:], key, "iban" + c[:2])
-    return _refill(text, f"{c[:2]}{98 - number(body + c[:2] + '00') % 97:02d}{body}")
+    new = f"{c[:2]}{98 - number(body + c[:2] + '00') % 97:02d}{body}"
+    return _refill(text, new if text[:2].isupper() else new.lower())
 
 
 def _ssn(text: str, key: bytes) -> str | None:
-    a, g, s = (int(x) for x in text.split("-"))
+    a, g, s = (int(x) for x in _GROUP.findall(text))
     if not 0 < a < 900 or a == 666 or not g or not s:
         return None
     area = a - 1 - (a > 666)
     x = permute((area * 99 + g - 1) * 9999 + s - 1, 898 * 99 * 9999, key, "ssn")
     x, s = divmod(x, 9999)
     area, g = divmod(x, 99)
-    return f"{area + 1 + (area + 1 >= 666):03d}-{g + 1:02d}-{s + 1:04d}"
+    return _refill(text, f"{area + 1 + (area + 1 >= 666):03d}{g + 1:02d}{s + 1:04d}")
 
 
 def _phone(text: str, key: bytes) -> str | None:
-    lead = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-    head = lead[0] if lead else text[:3] if text[0] == "+" else ""
-    d = _digits(text[len(head) :])
+    places, code = [k for k, c in enumerate(text) if c.isdigit()], 0
+    if text[0] == "+":
+        d = _digits(text)
+        code = next(n for n in (1, 2, 3) if n == 3 or d[:n] in _CODES)
+    at = places[code]
+    d = _digits(text[at:])
     if not 7 <= len(d) <= 13:
         return None
-    return head + _refill(text[len(head) :], f"{permute(int(d), 10 ** len(d), key, 'phone'):0{len(d)}d}")
+    return text[:at] + _refill(text[at:], f"{permute(int(d), 10 ** len(d), key, 'phone'):0{len(d)}d}")
 
 
 def _ip(text: str, key: bytes) -> str | None:
@@ -278,13 +291,15 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     return "".join(out), counts
 
 
-def pseudonyms(docs: DataFrame, key: bytes = b"grainmill-pseudonyms") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, n_replaced and n_<kind> of every document.
 
     A null text stays null, with no replacements; an empty one stays empty. Rows that repeat each
     give a row; null doc_ids stay; other columns are left aside. An empty table gives
-    an empty one. The key is a parameter; keep it secret where pseudonyms must not be undone.
+    an empty one. Who has the key can undo pseudonyms; it must not be empty.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     names = [f"n_{k}" for k in KINDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ chunks' pooled values are combined into one probability by a logistic unit. Embe
 and unit are trained together with Adam by backpropagation through the pooled positions.
 
 The model is fitted on at most SAMPLE labelled rows, those with the smallest hash of their
-doc_id, with at most TRAIN_CHUNKS chunks, evenly spread over the whole text, of each.
+doc_id, with all chunks of their whole texts.
 Scoring takes every chunk of every text. A chunk weighs in the mean by the bytes that
 it alone starts, so padding and overlap count for nothing.
 """
@@ -24,7 +24,7 @@ from grainmill.llm.words import text_bytes
 
 CHUNK, OVERLAP, WIDTH, STRIDE = 256, 32, 8, 2
 DIMS, FILTERS = 5, 24
-SAMPLE, TRAIN_CHUNKS, EPOCHS, BATCH = 3000, 8, 14, 32
+SAMPLE, EPOCHS, BATCH = 1500, 14, 32
 THRESHOLD, SEED = 0.3, 11
 #: Chunks that pass through the filters at a time.
 STEP = 128
@@ -61,16 +61,18 @@ class Network:
     def pooled(self, chunks: np.ndarray, where: bool = False):
         """Max-pooled filters of each chunk, and the windows that gave them."""
         out, arg = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS), np.int32)
-        windows = np.lib.stride_tricks.sliding_window_view(chunks, WIDTH, axis=1)[:, ::STRIDE]
+        # a window is some steps of STRIDE bytes: each step meets its part of the filters once, and windows add them up
+        steps = WIDTH // STRIDE
+        parts = self.w["filter"].reshape(steps, STRIDE * DIMS, FILTERS).transpose(1, 0, 2).reshape(STRIDE * DIMS, steps * FILTERS)
         for a in range(0, len(chunks), STEP):
-            part = windows[a : a + STEP]
-            x = self.w["embed"][part].reshape(-1, WIDTH * DIMS) @ self.w["filter"]
-            x = x.reshape(len(part), -1, FILTERS)
+            x = self.w["embed"][chunks[a : a + STEP]].reshape(-1, STRIDE * DIMS) @ parts
+            x = x.reshape(-1, CHUNK // STRIDE, steps, FILTERS)
+            x = sum(x[:, k : k + len(_STARTS), k] for k in range(steps))
             if where:
                 arg[a : a + STEP] = x.argmax(axis=1)
             out[a : a + STEP] = x.max(axis=1)
         out += self.w["bias"]
-        return (np.tanh(out), windows, arg) if where else np.tanh(out)
+        return (np.tanh(out), np.lib.stride_tricks.sliding_window_view(chunks, WIDTH, axis=1)[:, ::STRIDE], arg) if where else np.tanh(out)
 
     def score(self, mean: np.ndarray, most: np.ndarray) -> np.ndarray:
         z = np.concatenate([mean, most], axis=1) @ self.w["unit"] + self.w["base"]
@@ -86,22 +88,22 @@ class Network:
         dz = ((self.score(mean, most) - y) / n).astype(np.float32)
         grad = {"unit": np.concatenate([mean, most], axis=1).T @ dz, "base": dz.sum(keepdims=True)}
         dh = (dz[:, None] * self.w["unit"][None, :FILTERS])[of] * weight[:, None]
-        dh += np.where(h == most[of], (dz[:, None] * self.w["unit"][None, FILTERS:])[of], 0)
+        top = h == most[of]  # of chunks that share a window in their overlap, the first one
+        seen = np.cumsum(top, axis=0)
+        top &= seen - (seen[first] - top[first])[of] == 1
+        dh += np.where(top, (dz[:, None] * self.w["unit"][None, FILTERS:])[of], 0)
         dx = dh * (1 - h * h)
         grad["bias"] = dx.sum(0)
-        grad["filter"], grad["embed"] = np.zeros_like(self.w["filter"]), np.zeros_like(self.w["embed"])
-        rows = np.arange(len(chunks))
-        for f in range(FILTERS):
-            win = windows[rows, arg[:, f]]
-            grad["filter"][:, f] = dx[:, f] @ self.w["embed"][win].reshape(len(win), -1)
-            back = dx[:, f, None, None] * self.w["filter"][:, f].reshape(1, WIDTH, DIMS)
-            np.add.at(grad["embed"], win.ravel(), back.reshape(-1, DIMS))
+        win = windows[np.arange(len(chunks))[:, None], arg]  # chunk, filter, byte
+        grad["filter"] = np.einsum("cf,cfx->xf", dx, self.w["embed"][win].reshape(len(chunks), FILTERS, WIDTH * DIMS))
+        back = dx[:, :, None, None] * self.w["filter"].T.reshape(1, FILTERS, WIDTH, DIMS)
+        grad["embed"] = np.stack([np.bincount(win.ravel(), weights=back[..., d].ravel(), minlength=257) for d in range(DIMS)], axis=1).astype(self.w["embed"].dtype)
         grad["embed"][0] = 0
         return grad
 
 
-def train(texts: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Network:
-    """Fit on documents given as arrays of chunks with their weights."""
+def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Network:
+    """Fit on documents given as their bytes."""
     rng = np.random.default_rng(seed)
     net = Network(rng)
     if not len(labels):
@@ -115,8 +117,11 @@ def train(texts: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray
         order = rng.permutation(len(labels))
         for a in range(0, len(order), BATCH):
             part = order[a : a + BATCH]
-            of = np.repeat(np.arange(len(part)), [len(texts[i]) for i in part])
-            grad = net.gradients(np.concatenate([texts[i] for i in part]), of, np.concatenate([weights[i] for i in part]), labels[part])
+            starts = [chunk_starts(len(texts[i])) for i in part]
+            of = np.repeat(np.arange(len(part)), list(map(len, starts)))
+            chunks = np.concatenate([chunks_of(texts[i], s) for i, s in zip(part, starts, strict=True)])
+            weight = np.concatenate([_weights(len(texts[i]), s) for i, s in zip(part, starts, strict=True)])
+            grad = net.gradients(chunks, of, weight, labels[part])
             t += 1
             step = 0.01 * (1 - t / (total + 1)) + 0.0005
             for k, g in grad.items():
@@ -135,32 +140,15 @@ def _weights(n: int, starts: np.ndarray) -> np.ndarray:
     return ((ends - starts) / (ends[-1] - starts[0])).astype(np.float32)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> tuple[list, list, np.ndarray]:
-    """Chunks, their weights and the label of at most `sample` labelled documents that aren't held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> tuple[list, np.ndarray]:
+    """The bytes and the label of at most `sample` labelled documents that aren't held out."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offs = text_bytes(batch.column(2))
-            data, count, weight = [], [], []
-            for a, b in zip(offs[:-1], offs[1:], strict=True):
-                starts = chunk_starts(int(b - a))
-                w = _weights(int(b - a), starts)
-                if len(starts) > TRAIN_CHUNKS:
-                    pick = np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).round().astype(int)
-                    starts, w = starts[pick], w[pick] / w[pick].sum()
-                data.append(chunks_of(raw[a:b], starts).tobytes())
-                count.append(len(starts))
-                weight.append(w.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), pa.array(weight, pa.binary())], ["doc_id", "y", "data", "weight"])
-
-    texts = docs.join(known, "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), "text")
-    rows = texts.mapInArrow(run, "doc_id long, y int, data binary, weight binary")
+    texts = docs.join(known, "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text"))
     # rows that repeat a doc_id count once, so `sample` bounds what the driver gets
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("data", "weight", "y")).alias("one")).select("doc_id", "one.*").collect()
+    rows = texts.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("one")).select("doc_id", "one.*").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return [np.frombuffer(r["data"], np.int16).reshape(-1, CHUNK) for r in rows], [np.frombuffer(r["weight"], np.float32) for r in rows], np.array([r["y"] for r in rows], np.float32)
+    return [np.frombuffer(r["text"].encode(), np.uint8) for r in rows], np.array([r["y"] for r in rows], np.float32)
 
 
 def held_out(doc_id):
@@ -168,6 +156,20 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
+    """The score of every text of a column, from all of its chunks."""
+    raw, offs = text_bytes(texts)
+    mean, most = np.zeros((len(texts), FILTERS), np.float32), np.full((len(texts), FILTERS), -np.inf, np.float32)
+    for i, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True)):
+        starts = chunk_starts(int(b - a))
+        weight = _weights(int(b - a), starts)
+        for s in range(0, len(starts), STEP):
+            h = net.pooled(chunks_of(raw[a:b], starts[s : s + STEP]))
+            mean[i] += weight[s : s + STEP] @ h
+            np.maximum(most[i], h.max(axis=0), out=most[i])
+    return net.score(mean, most)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
@@ -180,40 +182,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = text_bytes(batch.column(2))
-            n = batch.num_rows
-            mean, most = np.zeros((n, FILTERS), np.float32), np.full((n, FILTERS), -np.inf, np.float32)
-            for i, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True)):
-                starts = chunk_starts(int(b - a))
-                weight = _weights(int(b - a), starts)
-                for s in range(0, len(starts), STEP):
-                    h = net.pooled(chunks_of(raw[a:b], starts[s : s + STEP]))
-                    mean[i] += weight[s : s + STEP] @ h
-                    np.maximum(most[i], h.max(axis=0), out=most[i])
-            score = net.score(mean, most)
+            score = score_texts(net, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose text the classifier doesn't reject, with all their columns."""
-    net = train(*training_rows(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), "quality", options.get("sample", SAMPLE)))
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs whose text the classifier doesn't reject, with all their columns.
+
+    Null and empty texts are judged by the score of a chunk of padding, and rows that repeat or have no doc_id are
+    judged like others. An empty table gives an empty one.
+    """
+    net = train(*training_rows(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), "quality", sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = text_bytes(batch.column("text"))
-            keep = []
-            for a, b in zip(offs[:-1], offs[1:], strict=True):
-                starts = chunk_starts(int(b - a))
-                weight = _weights(int(b - a), starts)
-                mean, most = np.zeros((1, FILTERS), np.float32), np.full((1, FILTERS), -np.inf, np.float32)
-                for s in range(0, len(starts), STEP):
-                    h = net.pooled(chunks_of(raw[a:b], starts[s : s + STEP]))
-                    mean[0] += weight[s : s + STEP] @ h
-                    np.maximum(most[0], h.max(axis=0), out=most[0])
-                keep.append(bool(net.score(mean, most)[0] >= THRESHOLD))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(score_texts(net, batch.column("text")) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -34,6 +34,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, at: str, separator:
     """
     with open(tokenizer_path, "rb") as f:
         spec = f.read()
+    if max(len(tokenizer_of(spec, special=False).labels) - 1, separator) >= 1 << 16:
+        raise ValueError("this vocabulary has ids beyond 16 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer_of(spec, special=False)

@@ -306,6 +306,17 @@ def test_pseudonyms(spark):
     for long in ("a%" * 200_000, "1 2 " * 100_000, "4111 " * 40_000, "a." * 200_000, "x@" + "a-" * 200_000, "7" * 200_000):
         assert pii.pseudonymise(long, key)[1].keys() <= {"card"}
     assert sorted(pii.permute(i, 1000, key, "t") for i in range(1000)) == list(range(1000))
+    for a, b in (("+1 (974) 555-3436", "+19745553436"), ("+44 20 7946 0958", "+442079460958"), ("+49 301 234-5678", "+493012345678")):
+        x, y = (pii.pseudonymise(t, key)[0] for t in (a, b))
+        code = len(a.split()[0])
+        assert re.sub(r"[^\d+]", "", x) == y != b and x[:code] == a[:code]
+    lower = pii.pseudonymise("gb82 west 1234 5698 7654 32 and more", key)
+    upper = pii.pseudonymise("GB82WEST12345698765432", key)
+    assert lower[0] == " ".join(upper[0].lower()[i : i + 4] for i in range(0, 22, 4)) + " and more" and lower[1] == upper[1] == {"iban": 1}
+    spaced, dashed = pii.pseudonymise("ssn 123 45 6789.", key), pii.pseudonymise("ssn 123-45-6789.", key)
+    assert spaced[0].replace(" ", "-") == dashed[0].replace(" ", "-") and spaced[1] == dashed[1] == {"ssn": 1}
+    with pytest.raises(ValueError):
+        pii.pseudonyms(docs_of(spark, []), b"")
     found = pii.pseudonyms(docs_of(spark, [(1, text, "a"), (2, None, "a"), (3, "", None), (3, "", None), (None, "x", "a")]), key).collect()
     assert {(r["doc_id"], r["text"], r["n_replaced"]) for r in found} == {(1, new, 9), (2, None, 0), (3, "", 0), (None, "x", 0)} and len(found) == 5
 
@@ -321,6 +332,67 @@ def test_quality(spark, sf_dir):
     assert len({r["score"] for r in odd if r["doc_id"] in (1, 2)}) == 1
 
 
+def _plain_forward(w, text):
+    """The network on one text, a window at a time."""
+    pooled, weight, hop = [], [], quality.CHUNK - quality.OVERLAP
+    starts = list(range(0, max(1, len(text) - quality.OVERLAP), hop))
+    for k, start in enumerate(starts):
+        codes = [1 + b for b in text[start : start + quality.CHUNK]]
+        codes += [0] * (quality.CHUNK - len(codes))
+        best = [max(sum(w["embed"][codes[at + j], d] * w["filter"][j * quality.DIMS + d, f] for j in range(quality.WIDTH) for d in range(quality.DIMS)) for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)) for f in range(quality.FILTERS)]
+        pooled.append([math.tanh(x + b) for x, b in zip(best, w["bias"], strict=True)])
+        weight.append(starts[k + 1] - start if k + 1 < len(starts) else max(len(text), start + 1) - start)
+    mean = [sum(p[f] * v for p, v in zip(pooled, weight, strict=True)) / sum(weight) for f in range(quality.FILTERS)]
+    most = [max(p[f] for p in pooled) for f in range(quality.FILTERS)]
+    return sum(x * u for x, u in zip(mean + most, w["unit"], strict=True)) + w["base"][0]
+
+
+def test_network_by_hand():
+    """Scores by plain loops, and gradients by differences."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    net = quality.Network(rng)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    net.w["bias"] += rng.normal(size=quality.FILTERS) * 0.1
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (0, 5, 300, 700)]
+    want = [1 / (1 + math.exp(-_plain_forward(net.w, t))) for t in texts]
+    assert quality.score_texts(net, pa.array([t.decode() for t in texts])) == pytest.approx(want, abs=1e-5)
+    y = np.array([1, 0, 1, 0], np.float32)
+    raw = [np.frombuffer(t, np.uint8) for t in texts]
+    starts = [quality.chunk_starts(len(t)) for t in raw]
+    chunks = np.concatenate([quality.chunks_of(t, s) for t, s in zip(raw, starts, strict=True)])
+    of = np.repeat(np.arange(4), list(map(len, starts)))
+    grad = net.gradients(chunks, of, np.concatenate([quality._weights(len(t), s) for t, s in zip(raw, starts, strict=True)]), y)
+
+    def loss(w):
+        z = np.array([_plain_forward(w, t) for t in texts])
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    for name, at in (("unit", (3,)), ("unit", (quality.FILTERS + 5,)), ("base", (0,)), ("bias", (2,)), ("filter", (7, 3)), ("embed", (1 + 100, 2))):
+        values = []
+        for e in (1e-3, -1e-3):
+            w = {k: v.copy() for k, v in net.w.items()}
+            w[name][at] += e
+            values.append(loss(w))
+        assert grad[name][at] == pytest.approx((values[0] - values[1]) / 2e-3, abs=2e-4, rel=0.02), (name, at)
+
+
+def test_training_takes_whole_texts(spark):
+    """What marks a text may stand anywhere in a long one."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for k in range(240):
+        words = rng.choice(["lorem", "ipsum", "dolor", "sit"], 1500).tolist()
+        if k % 2:
+            words[int(rng.integers(0, 1500))] = "XQZJK#XQZJK#XQZJK"
+        rows.append((k, " ".join(words), "a"))
+        labels.append((k, k % 2, 0))
+    texts, y = quality.training_rows(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "quality", 500)
+    assert len(texts) == len(y) < 240 and all(len(t) == len(rows[0][1].encode()) or len(t) > 5000 for t in texts)
+    assert {t.tobytes().decode() for t in texts} <= {t for _, t, _ in rows}
+
+
 def test_chunks_cover_the_text():
     for n in (0, 1, 31, 32, 33, 256, 257, 480, 481, 10_000):
         starts = quality.chunk_starts(n)
