@@ -7,14 +7,16 @@ byte strings; equal texts are one point, which arrives with its smallest doc_id.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.functions import sampled, shingle, spectral
 from grainmill.operators import chunking, cluster, codecs, store
-from grainmill.plans.pipeline import SimilarityPipeline, dedup_ratios, storage_report
+from grainmill.plans.pipeline import SimilarityPipeline, cluster_report, dedup_ratios, storage_report
 from grainmill.session import forget, settle, shared_path
+from grainmill.sources.files import read_files, read_store, write_store
 from grainmill.streaming.ingest import add_batch
 
 FIXED, GEAR_BITS, SKETCH_BITS = 500, 10, 7
@@ -99,8 +101,8 @@ def q_spectral_hash_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_neighbour_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("sim_hash")
-    return spectral.with_spectra(documents(spark, sf_dir)).select("item_id", F.least(h + 1, F.lit(0xFFFFFFFF)).alias("next_hash"), F.greatest(h - 1, F.lit(0)).cast("long").alias("last_hash"))
+    after, before = spectral.neighbour_hashes(F.col("sim_hash"))
+    return spectral.with_spectra(documents(spark, sf_dir)).select("item_id", after.alias("next_hash"), before.alias("last_hash"))
 
 
 def q_sampled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,9 +112,11 @@ def q_sampled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sketch_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next and last sketch: the low digit moves, as no feature is at an end of its range."""
+    """The next and last sketch, digit by digit; the lowest digit is put to 0 where it is even, so that some borrow."""
     f = F.col("features")
-    return sampled.with_sketch(documents(spark, sf_dir), bits=SKETCH_BITS).where("features is not null").select("item_id", (f[2] + 1).alias("next_low"), (f[2] - 1).alias("last_low"))
+    low = F.when(f[2] % 2 == 0, F.lit(0).cast("long")).otherwise(f[2])
+    sketched = sampled.with_sketch(documents(spark, sf_dir), bits=SKETCH_BITS).where("features is not null").select("item_id", F.array(f[0], f[1], low).alias("features"))
+    return sampled.with_neighbours(sketched).select("item_id", *[F.col(side)[k].alias(f"{side}_{k}") for side in ("next", "last") for k in range(3)])
 
 
 def q_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,55 +177,100 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(before, "item_id", "left").select("item_id", F.col("content").alias("child"), F.coalesce("parent", F.lit(b"")).alias("parent"))
 
 
-def q_edit_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte edit distance of every conversation turn to the turn before, whatever their sizes."""
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("content"))
-    return _turn_distances(turns).select("conv_id", "turn", "distance")
-
-
-def q_edit_gate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an edit script of that distance is worth storing: never where sizes differ by more than the codec takes."""
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("content"))
-    n, m = F.octet_length("content"), F.octet_length("before")
-    worth = (F.abs(n - m) <= codecs.MOST_DIFFERENCE) & (4 * F.col("distance") + 4 <= n)
-    return _turn_distances(turns).select("conv_id", "turn", worth.alias("worth"))
-
-
-def _turn_distances(turns: DataFrame) -> DataFrame:
+def _turn_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, content, before, distance of all turns that have one before them."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("content"))
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("content").alias("before"))
     latin = lambda c: F.decode(c, "ISO-8859-1")
     return turns.join(before, ["conv_id", "turn"]).withColumn("distance", F.levenshtein(latin("content"), latin("before")).cast("long"))
 
 
 def q_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte edit distance of conversation turns to the turn before, where both have at most 400 bytes."""
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("content"))
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("content").alias("before"))
-    latin = lambda c: F.decode(c, "ISO-8859-1")
-    met = turns.join(before, ["conv_id", "turn"]).where((F.octet_length("content") <= 400) & (F.octet_length("before") <= 400))
-    return met.select("conv_id", "turn", F.levenshtein(latin("content"), latin("before")).cast("long").alias("distance"))
+    """Byte edit distance of every conversation turn to the turn before, whatever their sizes."""
+    return _turn_distances(spark, sf_dir).select("conv_id", "turn", "distance")
 
 
 def q_edit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an edit script of that distance is worth storing."""
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length(F.col("text").cast("binary")).alias("n"))
-    return q_edit_distance(spark, sf_dir).join(turns, ["conv_id", "turn"]).select("conv_id", "turn", (4 * F.col("distance") + 4 <= F.col("n")).alias("worth"))
+    """Whether an edit script of that distance is worth storing: never where sizes differ by more than the codec takes."""
+    n, m = F.octet_length("content"), F.octet_length("before")
+    worth = (F.abs(n - m) <= codecs.MOST_DIFFERENCE) & (4 * F.col("distance") + 4 <= n)
+    return _turn_distances(spark, sf_dir).select("conv_id", "turn", worth.alias("worth"))
+
+
+def q_edit_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scripts that the codec itself writes for those pairs: their steps are the distance, where they are shorter than the turn."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("child"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("child").alias("parent"))
+    pairs = turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", "child", "parent")
+    coded = store.encode_children(pairs, "editscript").select("conv_id", "turn", "kind", F.lit("editscript").alias("codec"), F.lit(False).alias("compressed"), "payload")
+    return store.code_sizes(coded).select("conv_id", "turn", "kind", "steps")
 
 
 def _round_trip(codec: str, compress: bool = False):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         pairs = _pairs(spark, sf_dir).select("item_id", F.col("parent").alias("base"), "child", "parent")
-        coded = store.encode_children(pairs, codec, compress).select("item_id", "kind", "payload", F.col("base").alias("parent"))
-        return store.decode_children(coded, codec, compress).select("item_id", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha256"))
+        coded = store.encode_children(pairs, codec, compress).select("item_id", "kind", F.lit(codec).alias("codec"), F.lit(compress).alias("compressed"), "payload", F.col("base").alias("parent"))
+        return store.decode_children(coded).select("item_id", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha256"))
 
     return query
 
 
+#: Documents that make one file of `near copies`, so that sub-chunks of 8 KiB recur.
+BUNDLE = 64
+
+
+def _near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, child, parent: BUNDLE documents in a row, and the same with a byte replaced, one added and some moved.
+
+    The child is the parent's last tenth, then the parent with its middle byte replaced by `#` and a `+` put in at a quarter.
+    """
+    docs = documents(spark, sf_dir).withColumn("bundle", F.floor(F.col("item_id") / BUNDLE)).where("content is not null")
+    parts = docs.select(F.col("bundle").alias("file_id"), F.col("item_id").alias("seq"), F.sha2(F.concat(F.col("item_id").cast("string").cast("binary"), F.lit(b":"), "content"), 256).alias("sha256"), F.col("content").alias("data"))
+    whole = store.restore(parts.select("file_id", "seq", "sha256"), parts.select("sha256", "data"))
+    n, c = F.octet_length("content"), F.col("content")
+    quarter, half, tail = F.floor(n / 4).cast("int"), F.floor(n / 2).cast("int"), F.floor(n / 10).cast("int")
+    cut = lambda a, b: F.substring(c, a + 1, b - a)
+    child = F.concat(cut(n - tail, n), cut(F.lit(0), quarter), F.lit(b"+"), cut(quarter, half), F.lit(b"#"), cut(half + 1, n))
+    return whole.where(n >= 40).select(F.col("file_id").alias("item_id"), child.alias("child"), c.alias("parent"))
+
+
+def q_delta_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of near copies by every codec that copies: sizes, whether they are deltas below a tenth or half of the data, and the data again.
+
+    A delta has at least two steps, for the part that moved and what is behind it; what it copies and its size bound each other.
+    """
+    pairs = settle(_near_copies(spark, sf_dir), "near-copies")
+    out = []
+    for codec in ("gearword", "subchunk", "subchunk_speed", "subchunk_compression", "block", "lz_raw", "lz"):
+        coded = settle(store.encode_children(pairs.select("item_id", F.col("parent").alias("base"), "child", "parent"), codec).select("item_id", F.lit(codec).alias("codec"), "kind", F.lit(False).alias("compressed"), "payload", F.col("base").alias("parent")), "codes")
+        sizes = store.code_sizes(coded.select("item_id", "kind", "codec", "compressed", "payload"))
+        whole = store.decode_children(coded.select("item_id", "kind", "codec", "compressed", "payload", "parent")).select("item_id", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha256"))
+        both = sizes.join(whole, "item_id")
+        total, codes = F.sum("n_bytes"), F.sum("payload_bytes")
+        out.append(both.agg(
+            F.lit(codec).alias("codec"), F.count("*").alias("pairs"), total.alias("raw_bytes"), F.bit_xor(F.conv(F.substring("sha256", 1, 15), 16, 10).cast("long")).alias("restored"),
+            (2 * F.sum(F.when(F.col("kind") == "delta", 1).otherwise(0)) > F.count("*")).alias("mostly_deltas"), F.coalesce(F.min(F.when(F.col("kind") == "delta", F.col("steps"))) >= 1, F.lit(False)).alias("deltas_copy"),
+            (codes < total).alias("shorter"), (2 * codes < total).alias("halved"),
+        ))
+    return reduce(DataFrame.unionByName, out)
+
+
+def q_delta_editscript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts of documents whose first byte is replaced, middle byte removed and to which a byte is added: three steps, or fewer bytes raw."""
+    c, n = F.col("content"), F.octet_length("content")
+    half = F.floor(n / 2).cast("int")
+    child = F.concat(F.lit(b"\x01"), F.substring(c, F.lit(2), half - 1), F.substring(c, half + 2, n), F.lit(b"\x02"))
+    pairs = documents(spark, sf_dir).where(n >= 4).select("item_id", F.col("content").alias("base"), child.alias("child"), F.col("content").alias("parent"))
+    coded = settle(store.encode_children(pairs, "editscript").select("item_id", F.lit("editscript").alias("codec"), "kind", F.lit(False).alias("compressed"), "payload", F.col("base").alias("parent")), "codes")
+    sizes = store.code_sizes(coded.select("item_id", "kind", "codec", "compressed", "payload")).select("item_id", "kind", "payload_bytes", "steps")
+    whole = store.decode_children(coded.select("item_id", "kind", "codec", "compressed", "payload", "parent"))
+    return sizes.join(whole.select("item_id", F.sha2("data", 256).alias("sha256")), "item_id")
+
+
 def q_lz_flag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flag and rest of every length and pointer kind."""
-    rows = [(size, kind, *codecs.lz_flag(size, kind)) for size in range(codecs.LZ_LEAST, codecs.LZ_MOST + 1) for kind in range(5)]
-    return spark.createDataFrame(rows, "size long, kind long, flag long, rest long")
+    """Flag and rest of every length and pointer kind, and both decoded again."""
+    rows = [(size, kind, *codecs.lz_flag(size, kind), *codecs.lz_unflag(*codecs.lz_flag(size, kind))) for size in range(codecs.LZ_LEAST, codecs.LZ_MOST + 1) for kind in range(5)]
+    return spark.createDataFrame(rows, "size long, kind long, flag long, rest long, size_again long, kind_again long")
 
 
 def _scrubbed(spark: SparkSession, sf_dir: str) -> tuple[SimilarityPipeline, DataFrame, DataFrame]:
@@ -268,6 +317,62 @@ def _fixed_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return kept, docs.select("sha256").distinct()
 
 
+def q_mixed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back from a store that several codecs wrote: each row by its own."""
+    parts = []
+    docs, coded = files(spark, sf_dir), list(codecs.ENCODERS)
+    for k, codec in enumerate(coded):
+        plan = SimilarityPipeline(sizes=CHUNKS, clusterer="equal", codec=codec, compress=k % 2 == 1)
+        parts.append(plan.scrub(docs.where(F.col("file_id") % len(coded) == k)))
+    chunks = [store.get(kept, recipes.select("sha256").distinct(), "raise") for kept, recipes in parts]
+    whole = reduce(DataFrame.unionByName, chunks).groupBy("sha256").agg(F.max("data").alias("data"))
+    recipes = reduce(DataFrame.unionByName, [r for _, r in parts])
+    return store.restore(recipes, whole).select("file_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def q_store_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under its key, after those with even ids were put anew with an `x` before them."""
+    kept, keys = _fixed_store(spark, sf_dir)
+    kept = settle(kept, "store")
+    new = documents(spark, sf_dir).where("item_id % 2 = 0").select(F.sha2("content", 256).alias("sha256"), F.concat(F.lit(b"x"), "content").alias("data"))
+    found = store.get(settle(store.put(kept, new), "store"), keys, "raise")
+    return found.select("sha256", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("held_sha256"))
+
+
+def q_store_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are missing from a cleared store: all of them."""
+    kept, keys = _fixed_store(spark, sf_dir)
+    return store.missing(store.clear(kept), keys)
+
+
+def q_stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents from a store and recipes that were written to a folder and read from there."""
+    path = shared_path(spark, "stored")
+    plan = SimilarityPipeline(sizes=CHUNKS, hasher="sampled", clusterer="equal", codec="block", compress=True)
+    write_store(*plan.scrub(files(spark, sf_dir)), path)
+    kept, recipes = read_store(spark, path)
+    return plan.read(kept, recipes).select("file_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def q_file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's own files as bytes: read, chunked, and joined again."""
+    read = read_files(spark, f"{sf_dir}/pages.parquet", "*.parquet").select(F.regexp_extract("file_id", "[^/]+$", 0).alias("file_id"), "content")
+    chunks = settle(chunking.content_chunks(read, kind="string"), "chunks")
+    whole = store.restore(chunks.select("file_id", "seq", "sha256"), chunks.select("sha256", "data").dropDuplicates(["sha256"]))
+    return whole.join(read.select("file_id", F.sha2("content", 256).alias("before")), "file_id").select("file_id", F.octet_length("content").cast("long").alias("n_bytes"), (F.sha2("content", 256) == F.col("before")).alias("same"))
+
+
+def q_scrub_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a scrub whose chunks are whole documents; the store is no larger than they are, and stages take time."""
+    plan = SimilarityPipeline(sizes=(1 << 28, 1 << 29, 1 << 30))
+    _, _, report = plan.scrub_report(files(spark, sf_dir))
+    return report.select("total_points", "clusters", "raw_bytes", (F.col("data_left") + F.col("processed_data") <= F.col("raw_bytes")).alias("not_larger"), ((F.col("hashing_s") > 0) & (F.col("clustering_s") > 0) & (F.col("encoding_s") > 0)).alias("timed"))
+
+
+def q_cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(cluster.with_parents(clusters(spark, sf_dir)))
+
+
 def q_store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, keys = _fixed_store(spark, sf_dir)
     found = store.get(kept, keys)
@@ -321,8 +426,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         q_scan_bytes, q_exact_dedup, q_fixed_chunks, q_gear_chunks, q_content_chunks, q_chunk_dedup_ratio, q_byte_hist, q_bigram_hist, q_spectral_hash_pages,
         q_neighbour_hash, q_sampled_sketch, q_sketch_neighbours, q_shingle_jaccard, q_eq_clusters, q_leader_clusters, q_incremental_clusters, q_islands, q_cluster_sizes, q_member_distances,
-        q_leader_distances, q_cluster_totals, q_parent_pick, q_delta_ordinal, q_edit_distance, q_edit_gate, q_edit_distance_all, q_edit_gate_all, q_lz_flag_table, q_restore_documents, q_incremental_scrub, q_storage_report,
+        q_leader_distances, q_cluster_totals, q_parent_pick, q_delta_ordinal, q_edit_distance, q_edit_gate, q_edit_script, q_delta_codes, q_delta_editscript, q_lz_flag_table, q_restore_documents, q_incremental_scrub, q_storage_report,
         q_total_dedup_ratio, q_cluster_dedup_ratio, q_store_lookup, q_contains, q_missing, q_free_cell, q_incremental_ingest,
+        q_mixed_store, q_store_put, q_store_clear, q_stored_files, q_file_source, q_scrub_report, q_cluster_report,
     ]
     found = {f.__name__: f for f in named}
     found |= {"q_c_spectrum": _part("c_spectrum"), "q_f_spectrum": _part("f_spectrum"), "q_p_spectrum": _part("p_spectrum"), "q_spectral_hash": _part("sim_hash")}
@@ -428,12 +534,36 @@ def oracle_sql() -> dict[str, str]:
             select arrival, sim_hash, row_number() over (partition by sim_hash order by arrival) - 2 as ordinal from few qualify row_number() over (partition by sim_hash order by arrival) > 1""",
         "q_edit_distance": """
             select a.conv_id, a.turn, levenshtein(a.text, b.text)::bigint as distance from conversations a
-            join conversations b on a.conv_id = b.conv_id and a.turn = b.turn + 1 where strlen(a.text) <= 400 and strlen(b.text) <= 400""",
-        "q_edit_gate": """
-            select a.conv_id, a.turn, 4 * levenshtein(a.text, b.text) + 4 <= strlen(a.text) as worth from conversations a
-            join conversations b on a.conv_id = b.conv_id and a.turn = b.turn + 1 where strlen(a.text) <= 400 and strlen(b.text) <= 400""",
+            join conversations b on a.conv_id = b.conv_id and a.turn = b.turn + 1""",
+        "q_edit_gate": f"""
+            select a.conv_id, a.turn, abs(strlen(a.text) - strlen(b.text)) <= {codecs.MOST_DIFFERENCE} and 4 * levenshtein(a.text, b.text) + 4 <= strlen(a.text) as worth from conversations a
+            join conversations b on a.conv_id = b.conv_id and a.turn = b.turn + 1""",
+        "q_edit_script": f"""
+            with d as (select a.conv_id, a.turn, strlen(a.text) as n, abs(strlen(a.text) - strlen(b.text)) <= {codecs.MOST_DIFFERENCE} as near, levenshtein(a.text, b.text)::bigint as d
+                from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = b.turn + 1)
+            select conv_id, turn, case when near and 4 * d + 4 <= n then 'delta' else 'simple' end as kind, case when near and 4 * d + 4 <= n then d else 0 end as steps from d""",
+        "q_delta_codes": f"""
+            with whole as (select doc_id // {BUNDLE} as item_id, string_agg(hex(encode(text)), '' order by doc_id) as h from documents where text is not null group by 1),
+            cut as (select item_id, h, length(h) // 2 as n, length(h) // 8 as q, length(h) // 4 as m, length(h) // 20 as t from whole where length(h) >= 80),
+            child as (select unhex(substr(h, 2 * (n - t) + 1) || substr(h, 1, 2 * q) || '2B' || substr(h, 2 * q + 1, 2 * (m - q)) || '23' || substr(h, 2 * m + 3)) as c from cut)
+            select codec, count(*) as pairs, sum(octet_length(c))::bigint as raw_bytes, bit_xor(('0x' || substr(sha256(c), 1, 15))::bigint) as restored, true as mostly_deltas, true as deltas_copy, true as shorter, true as halved
+            from child cross join (select unnest(['gearword', 'subchunk', 'subchunk_speed', 'subchunk_compression', 'block', 'lz_raw', 'lz']) as codec) group by codec""",
+        "q_delta_editscript": """
+            with d as (select doc_id as item_id, hex(encode(text)) as h, strlen(text) as n from documents where strlen(text) >= 4),
+            c as (select item_id, n, unhex('01' || substr(h, 3, 2 * (n // 2 - 1)) || substr(h, 2 * (n // 2) + 3) || '02') as child from d)
+            select item_id, case when n >= 16 then 'delta' else 'simple' end as kind, case when n >= 16 then 12 else n end::bigint as payload_bytes, case when n >= 16 then 3 else 0 end::bigint as steps, sha256(child) as sha256 from c""",
+        "q_mixed_store": _TEXT.format(key="file_id"),
+        "q_stored_files": _TEXT.format(key="file_id"),
+        "q_store_put": """select sha256(text) as sha256, max(strlen(text))::bigint + max(case when doc_id % 2 = 0 then 1 else 0 end) as n_bytes,
+            case when max(case when doc_id % 2 = 0 then 1 else 0 end) = 1 then sha256('x' || any_value(text)) else sha256(any_value(text)) end as held_sha256 from documents group by 1""",
+        "q_store_clear": "select distinct sha256(text) as sha256 from documents",
+        "q_scrub_report": f"""with recursive {_LEADERS}, whole as (select distinct text from documents where strlen(text) > 0)
+            select count(*) as total_points, count(distinct cluster_id) as clusters, (select sum(strlen(text))::bigint from whole) as raw_bytes, true as not_larger, true as timed
+            from clustered where sha256 <> sha256('')""",
+        "q_cluster_report": f"""with recursive {_LEADERS}, nth as (select *, row_number() over (partition by cluster_id order by arrival) as nth from clustered)
+            select cluster_id, count(*) as members, sum(case when nth > 1 then abs(sim_hash - cluster_id) end)::bigint as total_distance, max(case when nth > 1 then abs(sim_hash - cluster_id) end) as largest_distance from nth group by 1""",
         "q_lz_flag_table": """
-            select size, kind, 1 + 5 * ((size - 3) // 256) + kind as flag, (size - 3) % 256 as rest
+            select size, kind, 1 + 5 * ((size - 3) // 256) + kind as flag, (size - 3) % 256 as rest, size as size_again, kind as kind_again
             from range(3, 1027) a(size) cross join range(5) b(kind)""",
         "q_restore_documents": _TEXT.format(key="file_id"),
         "q_incremental_scrub": _TEXT.format(key="file_id"),
@@ -448,7 +578,10 @@ def oracle_sql() -> dict[str, str]:
     features = ", ".join(f"min((({c}::hugeint * v + b) % 4294967296)::bigint) filter (v % {1 << SKETCH_BITS} = 0) as feature_{k}" for k, c in enumerate(low))
     sketch = f"with {_rolling_sql(32)} , found as (select doc_id as item_id, feature_0, feature_1, feature_2 from documents left join (select item_id, {features} from fp group by 1) on item_id = doc_id)"
     sql["q_sampled_sketch"] = f"{sketch} select item_id, coalesce(feature_0, -1) as feature_0, coalesce(feature_1, -1) as feature_1, coalesce(feature_2, -1) as feature_2 from found"
-    sql["q_sketch_neighbours"] = f"{sketch} select item_id, feature_2 + 1 as next_low, feature_2 - 1 as last_low from found where feature_2 is not null"
+    low = "case when feature_2 % 2 = 0 then 0 else feature_2 end"
+    sql["q_sketch_neighbours"] = f"""{sketch}, low as (select item_id, feature_0 as a, feature_1 as b, {low} as c from found where feature_2 is not null)
+        select item_id, a as next_0, b as next_1, c + 1 as next_2, case when b = 0 and c = 0 then a - 1 else a end as last_0,
+            case when c = 0 then b - 1 else b end as last_1, c - 1 as last_2 from low"""
     step = shingle.WORD * shingle.WORDS
     sql["q_shingle_jaccard"] = f"""
         with t as (select doc_id, hex(encode(text)) as h, strlen(text) as n from documents),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import types as T
 
 from grainmill.functions.gear import rolling
 
-# The multipliers of the three features.
-FACTORS = (0x3F9C9A5D4E8A3B2A, 0x7D4F1B2C3A6E5D8C, 0x1A2B3C4D5E6F7A8B)
+#: The multipliers of the three features: the first 16 hex digits of the SHA-256 of "feature 0" and so on, made odd.
+FACTORS = tuple(int(hashlib.sha256(f"feature {k}".encode()).hexdigest()[:16], 16) | 1 for k in range(3))
 LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -44,3 +45,18 @@ def with_sketch(items: DataFrame, content: str = "content", bits: int = 7) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "features"])
 
     return items.mapInArrow(run, T.StructType([*items.schema.fields, T.StructField("features", T.ArrayType(T.LongType()))]))
+
+
+def with_neighbours(items: DataFrame) -> DataFrame:
+    """Adds next and last, the sketches beside features, as arrays of three longs; null where features is."""
+
+    def signed(x: int) -> int:
+        return x - (1 << 64) if x >> 63 else x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [neighbours(x) for x in batch.column("features").to_pylist()]
+            cols = [pa.array([[signed(d) for d in f[k]] if f else None for f in found], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "next", "last"])
+
+    return items.mapInArrow(run, T.StructType([*items.schema.fields, *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("next", "last"))]))

@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed values of the hash.
@@ -79,6 +80,11 @@ def spectral_hash(data: bytes) -> int:
     return c ^ f ^ p
 
 
+def neighbour_hashes(sim_hash: Column) -> tuple[Column, Column]:
+    """The next and the last hash; both stop at the ends of 32 bits."""
+    return F.least(sim_hash + 1, F.lit(0xFFFFFFFF)), F.greatest(sim_hash - 1, F.lit(0)).cast("long")
+
+
 def with_spectra(items: DataFrame, content: str = "content") -> DataFrame:
     """Adds c_spectrum, f_spectrum, p_spectrum and sim_hash of a binary column; null gives null."""
     names = ["c_spectrum", "f_spectrum", "p_spectrum", "sim_hash"]

@@ -40,9 +40,9 @@ def bounded_cuts(data: bytes, least: int, mean: int, most: int) -> list[int]:
     return starts
 
 
-def content_chunks(files: DataFrame, least: int = MIN_SIZE, mean: int = AVG_SIZE, most: int = MAX_SIZE) -> DataFrame:
-    """file_id, seq, offset, length, data, sha256 of content-defined chunks."""
-    return _cut(files, lambda x: bounded_cuts(x, least, mean, most) if x else [])
+def content_chunks(files: DataFrame, least: int = MIN_SIZE, mean: int = AVG_SIZE, most: int = MAX_SIZE, kind: str = "long") -> DataFrame:
+    """file_id (of the type `kind`), seq, offset, length, data, sha256 of content-defined chunks."""
+    return _cut(files, lambda x: bounded_cuts(x, least, mean, most) if x else [], kind)
 
 
 def gear_pieces(files: DataFrame, bits: int) -> DataFrame:
@@ -50,7 +50,7 @@ def gear_pieces(files: DataFrame, bits: int) -> DataFrame:
     return _cut(files, lambda x: sorted({0, *gear_cuts(x, bits).tolist()}) if x else [])
 
 
-def _cut(files: DataFrame, starts_of) -> DataFrame:
+def _cut(files: DataFrame, starts_of, kind: str = "long") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, data in enumerate(batch.column(1).to_pylist()):
@@ -60,7 +60,7 @@ def _cut(files: DataFrame, starts_of) -> DataFrame:
                     n = len(starts)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * n)), pa.array(range(n), pa.int64()), pa.array(starts, pa.int64()), pa.array([b - a for a, b in zip(starts, ends, strict=True)], pa.int64()), pa.array([data[a:b] for a, b in zip(starts, ends, strict=True)], pa.binary())], ["file_id", "seq", "offset", "length", "data"])
 
-    return files.select("file_id", "content").mapInArrow(run, "file_id long, seq long, offset long, length long, data binary").withColumn("sha256", F.sha2("data", 256))
+    return files.select("file_id", "content").mapInArrow(run, f"file_id {kind}, seq long, offset long, length long, data binary").withColumn("sha256", F.sha2("data", 256))
 
 
 def unique_chunks(chunks: DataFrame) -> DataFrame:

@@ -30,6 +30,15 @@ OPEN, COVERED, LEADER, NEW = range(4)
 _LAST = (1 << 63) - 1
 
 
+def cluster_points(points: DataFrame, method: str = "leader", radius: int = RADIUS, known: DataFrame | None = None) -> DataFrame:
+    """Adds cluster_id to points (sim_hash, arrival, ...) by the method: leader or equal."""
+    if method == "leader":
+        return leader_clusters(points, radius, known)
+    if method == "equal":
+        return equal_clusters(points)
+    raise ValueError(f"no such method: {method}")
+
+
 def equal_clusters(points: DataFrame) -> DataFrame:
     """Adds cluster_id, the similarity hash itself."""
     return points.withColumn("cluster_id", F.col("sim_hash"))
@@ -121,12 +130,28 @@ def leaders(keys: DataFrame, radius: int = RADIUS, known: DataFrame | None = Non
     key are unrelated. Cells widen until none is open, at last to all keys that still are.
     """
 
-    def fold(table: pa.Table) -> pa.Table:
-        key, since, state, cell, view = (table.column(c).to_pylist() for c in ("key", "since", "state", "_cell", "_view"))
-        inner = [c == v for c, v in zip(cell, view, strict=True)]
-        found = decide(list(zip(key, since, state, inner, strict=True)), radius)
-        keep = [i for i, x in enumerate(found) if inner[i] and x != COVERED]
-        return pa.table({"key": pa.array([key[i] for i in keep], pa.int64()), "since": pa.array([since[i] for i in keep], pa.int64()), "state": pa.array([found[i] for i in keep], pa.int32())})
+    names = ("key", "since", "state")
+
+    def fold(view: int, part: list[tuple[int, int | None, int, int]]) -> list[tuple[int, int | None, int]]:
+        found = decide([(key, since, state, cell == view) for key, since, state, cell in part], radius)
+        return [(r[0], r[1], x) for r, x in zip(part, found, strict=True) if r[3] == view and x != COVERED]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Folds view after view of a partition that is sorted by them."""
+        now, part = None, []
+        for batch in batches:
+            out = []
+            for key, since, state, cell, view in zip(*(batch.column(c).to_pylist() for c in (*names, "_cell", "_view")), strict=True):
+                if view != now:
+                    out += fold(now, part) if part else []
+                    now, part = view, []
+                part.append((key, since, state, cell))
+            yield _folded(out)
+        if part:
+            yield _folded(fold(now, part))
+
+    def _folded(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names)
 
     rows = keys.select("key", "since", F.lit(OPEN).alias("state"))
     found = []
@@ -140,7 +165,8 @@ def leaders(keys: DataFrame, radius: int = RADIUS, known: DataFrame | None = Non
             views = _views(rows, "key", bits, radius)
         else:
             views = rows.withColumn("_cell", F.lit(0)).withColumn("_view", F.lit(0))
-        now = settle(views.groupBy("_view").applyInArrow(fold, "key long, since long, state int"), "leaders")
+        views = views.select("key", "since", "state", "_cell", "_view").repartition("_view").sortWithinPartitions("_view")
+        now = settle(views.mapInArrow(run, "key long, since long, state int"), "leaders")
         found.append(now.where(F.col("state") == NEW).select("key", "since"))
         open_ = now.where(F.col("state") == OPEN)
         if open_.isEmpty():
@@ -219,4 +245,4 @@ def with_parents(clusters: DataFrame, held: DataFrame | None = None) -> DataFram
 
 def parents_of(held: DataFrame) -> DataFrame:
     """(key, sha256) of the parents in a store: one for each similarity hash."""
-    return held.where("kind = 'simple' and parent_sha256 is null").groupBy(F.col("hash").alias("key")).agg(F.min("sha256").alias("sha256"))
+    return held.where("kind = 'simple' and parent_sha256 is null and hash is not null").groupBy(F.col("hash").alias("key")).agg(F.min("sha256").alias("sha256"))

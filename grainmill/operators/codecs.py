@@ -4,7 +4,9 @@ Copy and insert instructions have little-endian headers: INSERT is a 3-byte leng
 set and the bytes, COPY a 3-byte length and a 3-byte offset into the parent. The gear-word,
 sub-chunk and block encoders differ in how they find what to copy. The edit script lists
 single-byte edits; the LZ code mixes literals and matches near moving pointers and may be
-packed by a static prefix code. Every encoder is lossless for all inputs.
+packed by a static prefix code. Every encoder is lossless for all inputs. Copies have 24 bits for
+places, so what a parent has beyond 16 MiB isn't copied from. A code that isn't shorter than the
+data is given up for the data itself.
 """
 
 from __future__ import annotations
@@ -32,6 +34,14 @@ class RawFallback(Exception):
     """The encoder declines: the code wouldn't be shorter than the data."""
 
 
+class CodeError(ValueError):
+    """A malformed code; kind is flag, length, offset or action."""
+
+    def __init__(self, kind: str, message: str):
+        super().__init__(message)
+        self.kind = kind
+
+
 def _insert(data: bytes) -> bytes:
     return b"".join((len(p) | INSERT).to_bytes(3, "little") + p for p in (data[i : i + LONGEST] for i in range(0, len(data), LONGEST)))
 
@@ -51,7 +61,7 @@ def decode_copies(parent: bytes, code: bytes) -> bytes:
         else:
             start = int.from_bytes(code[at + 3 : at + 6], "little")
             if start + size > len(parent):
-                raise ValueError("a copy reaches past the parent")
+                raise CodeError("offset", "a copy reaches past the parent")
             out.append(parent[start : start + size])
             at += 6
     return b"".join(out)
@@ -280,7 +290,7 @@ def decode_editscript(parent: bytes, code: bytes) -> bytes:
         elif action == DELETE:
             del out[at]
         else:
-            raise ValueError("unknown action")
+            raise CodeError("action", "unknown action")
     return bytes(out)
 
 
@@ -293,14 +303,14 @@ def lz_flag(size: int, kind: int) -> tuple[int, int]:
     """A match's flag and the rest of its length."""
     times, rest = divmod(size - LZ_LEAST, 256)
     if not 0 <= times <= 3:
-        raise ValueError("a match has 3 to 1026 bytes")
+        raise CodeError("length", "a match has 3 to 1026 bytes")
     return 1 + 5 * times + kind, rest
 
 
 def lz_unflag(flag: int, rest: int) -> tuple[int, int]:
     """The size and kind of a match."""
     if not 1 <= flag <= 20:
-        raise ValueError("no such flag")
+        raise CodeError("flag", "no such flag")
     times, kind = divmod(flag - 1, 5)
     return LZ_LEAST + 256 * times + rest, kind
 
@@ -321,9 +331,13 @@ def _triplets(parent: bytes) -> dict[bytes, list[int]]:
 
 
 def lz_symbols(child: bytes, parent: bytes) -> bytes:
-    """Literals [0, byte] and matches [flag, rest, high, low] of a distance to a pointer."""
+    """Literals [0, byte] and matches [flag, rest, high, low] of a distance to a pointer.
+
+    A match may also be with what the child itself has last had before, at a distance back from there.
+    """
     index = _triplets(parent)
-    out, i, main, aux, last = bytearray(), 0, 0, 0, None
+    own: dict[bytes, int] = {}
+    out, i, main, aux, last, seen = bytearray(), 0, 0, 0, None, 0
     while i < len(child):
         best = None
         for p in index.get(child[i : i + 3], ()):
@@ -338,41 +352,59 @@ def lz_symbols(child: bytes, parent: bytes) -> bytes:
             score = (size - (abs(off) > LZ_FAR)) << 16 | 0xFFFF - abs(off)
             if best is None or score > best[0]:
                 best = score, size, off, used_main, abs(off), p
+        p = own.get(child[i : i + 3])
+        if p is not None and i - p <= 0xFFFF:
+            size = min(_run(child, i, child, p), i - p, LZ_MOST)
+            score = (size - (i - p > LZ_FAR)) << 16 | 0xFFFF - (i - p)
+            if size >= LZ_LEAST and (best is None or score > best[0]):
+                best = score, size, i - p, None, i - p, p
         if best is None or best[1] < LZ_LEAST:
             out += bytes((0, child[i]))
             i += 1
-            continue
-        _, size, off, used_main, _, p = best
-        kind = (MAIN_AFTER if used_main else AUX_AFTER) + (off < 0)
-        flag, rest = lz_flag(size, kind)
-        out += bytes((flag, rest, abs(off) >> 8, abs(off) & 255))
-        far = abs(off) >= LZ_NEAR or (last is not None and last >= LZ_NEAR)
-        main, aux = _moved(main, aux, p + size, used_main, far, last is None)
-        last = abs(off)
-        i += size
+        else:
+            _, size, off, used_main, _, p = best
+            kind = LOCAL if used_main is None else (MAIN_AFTER if used_main else AUX_AFTER) + (off < 0)
+            flag, rest = lz_flag(size, kind)
+            out += bytes((flag, rest, abs(off) >> 8, abs(off) & 255))
+            if kind != LOCAL:
+                far = abs(off) >= LZ_NEAR or (last is not None and last >= LZ_NEAR)
+                main, aux = _moved(main, aux, p + size, used_main, far, last is None)
+                last = abs(off)
+            i += size
+        while seen + 3 <= i:
+            own[child[seen : seen + 3]] = seen
+            seen += 1
     return bytes(out)
 
 
-def lz_restore(parent: bytes, symbols: bytes) -> bytes:
+def lz_restore(parent: bytes, symbols: bytes, permissive: bool = False) -> bytes:
+    """The data of a list of symbols. permissive: a symbol that can't be right is passed over, and an end cut off left out."""
     out, at, main, aux, last = bytearray(), 0, 0, 0, None
     while at < len(symbols):
         if symbols[at] == 0:
             out += symbols[at + 1 : at + 2]
             at += 2
             continue
-        size, kind = lz_unflag(symbols[at], symbols[at + 1])
-        off = symbols[at + 2] << 8 | symbols[at + 3]
-        at += 4
-        if kind == LOCAL:
-            start = len(out) - off
-            if not 0 <= start <= len(out) - size:
-                raise ValueError("a match reaches outside the output")
-            out += out[start : start + size]
+        symbol, at = symbols[at : at + 4], at + 4
+        try:
+            if len(symbol) < 4:
+                raise CodeError("length", "a match is cut off")
+            size, kind = lz_unflag(symbol[0], symbol[1])
+            off = symbol[2] << 8 | symbol[3]
+            if kind == LOCAL:
+                start = len(out) - off
+                if not 0 <= start <= len(out) - size:
+                    raise CodeError("offset", "a match reaches outside the output")
+                out += out[start : start + size]
+                continue
+            used_main = kind in (MAIN_AFTER, MAIN_BEFORE)
+            start = (main if used_main else aux) + (-off if kind in (MAIN_BEFORE, AUX_BEFORE) else off)
+            if not 0 <= start <= len(parent) - size:
+                raise CodeError("offset", "a match reaches outside the parent")
+        except CodeError:
+            if not permissive:
+                raise
             continue
-        used_main = kind in (MAIN_AFTER, MAIN_BEFORE)
-        start = (main if used_main else aux) + (-off if kind in (MAIN_BEFORE, AUX_BEFORE) else off)
-        if not 0 <= start <= len(parent) - size:
-            raise ValueError("a match reaches outside the parent")
         out += parent[start : start + size]
         far = off >= LZ_NEAR or (last is not None and last >= LZ_NEAR)
         main, aux = _moved(main, aux, start + size, used_main, far, last is None)
@@ -407,9 +439,13 @@ def pack_symbols(symbols: bytes) -> bytes:
     return struct.pack("<I", len(symbols)) + (int(bits, 2).to_bytes(len(bits) // 8, "big") if bits else b"")
 
 
-def unpack_symbols(code: bytes) -> bytes:
+def unpack_symbols(code: bytes, permissive: bool = False) -> bytes:
     words, size = prefix_code()
     table = {(size[s], words[s]): s for s in range(256)}
+    if len(code) < 4:
+        if permissive:
+            return b""
+        raise CodeError("length", "the code ends early")
     (count,), out, word, n = struct.unpack_from("<I", code), bytearray(), 0, 0
     for byte in code[4:]:
         for k in range(7, -1, -1):
@@ -420,8 +456,8 @@ def unpack_symbols(code: bytes) -> bytes:
                 word = n = 0
                 if len(out) == count:
                     return bytes(out)
-    if len(out) < count:
-        raise ValueError("the code ends early")
+    if len(out) < count and not permissive:
+        raise CodeError("length", "the code ends early")
     return bytes(out)
 
 
@@ -441,20 +477,51 @@ DECODERS: dict[str, Callable[[bytes, bytes], bytes]] = {
     "lz_raw": lz_restore,
     "lz": lambda p, d: lz_restore(p, unpack_symbols(d)),
 }
+#: Decoders that pass over what is malformed.
+PERMISSIVE: dict[str, Callable[[bytes, bytes], bytes]] = {
+    "lz_raw": lambda p, d: lz_restore(p, d, True),
+    "lz": lambda p, d: lz_restore(p, unpack_symbols(d, True), True),
+}
 
 
 def encode(codec: str, child: bytes, parent: bytes, compress: bool = False) -> tuple[str, bytes]:
-    """(kind, payload): a delta, or simple with the data itself where the codec declines."""
+    """(kind, payload): a delta, or simple with the data itself where the codec declines or its code isn't shorter."""
     try:
         code = ENCODERS[codec](child, parent)
     except RawFallback:
         return "simple", child
-    return "delta", zstandard.compress(code) if compress else code
+    code = zstandard.compress(code) if compress else code
+    return ("delta", code) if len(code) < len(child) else ("simple", child)
 
 
-def decode(codec: str, kind: str, payload: bytes, parent: bytes | None, compress: bool = False) -> bytes:
+def decode(codec: str, kind: str, payload: bytes, parent: bytes | None, compress: bool = False, permissive: bool = False) -> bytes:
     if kind == "simple":
         return payload
     if parent is None:
         raise KeyError("the parent is missing")
-    return DECODERS[codec](parent, zstandard.decompress(payload) if compress else payload)
+    decoder = PERMISSIVE.get(codec, DECODERS[codec]) if permissive else DECODERS[codec]
+    return decoder(parent, zstandard.decompress(payload) if compress else payload)
+
+
+def instructions(codec: str, kind: str, payload: bytes, compress: bool = False) -> tuple[int, int]:
+    """How many copies, matches or edits a code has, and how many bytes it takes from the parent."""
+    if kind == "simple":
+        return 0, 0
+    code, at, n, size = zstandard.decompress(payload) if compress else payload, 0, 0, 0
+    if codec == "editscript":
+        return len(code) // 4, 0
+    if codec in ("lz", "lz_raw"):
+        code = unpack_symbols(code) if codec == "lz" else code
+        while at < len(code):
+            if code[at] == 0:
+                at += 2
+                continue
+            n, size, at = n + 1, size + lz_unflag(code[at], code[at + 1])[0], at + 4
+        return n, size
+    while at < len(code):
+        length = int.from_bytes(code[at : at + 3], "little")
+        if length & INSERT:
+            at += 3 + length - INSERT
+        else:
+            n, size, at = n + 1, size + length, at + 6
+    return n, size

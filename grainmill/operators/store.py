@@ -1,7 +1,8 @@
 """The chunk store: parents raw, other members of a cluster as delta codes, and the way back.
 
 Children meet their parents in an equi-join that adaptive execution may split, so
-a giant cluster is encoded in parallel; payloads are never collected into lists.
+a giant cluster is encoded in parallel. Each row says by which codec it was written, and is read by that one.
+A file is put together from its sorted chunks in one pass; as one value it must fit into a task.
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainmill.operators import codecs
 
@@ -30,16 +32,32 @@ def encode_children(pairs: DataFrame, codec: str, compress: bool = False) -> Dat
     return pairs.mapInArrow(run, schema)
 
 
-def decode_children(pairs: DataFrame, codec: str, compress: bool = False) -> DataFrame:
-    """(id columns ..., data) for pairs (..., kind, payload, parent)."""
-    keys = pairs.columns[:-3]
+def decode_children(pairs: DataFrame, permissive: bool = False) -> DataFrame:
+    """(id columns ..., data) for pairs (..., kind, codec, compressed, payload, parent); a null kind gives null."""
+    names = ["codec", "kind", "payload", "parent", "compressed"]
+    keys = pairs.columns[:-5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "payload", "parent")), strict=True)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array([codecs.decode(codec, k, x, p, compress) for k, x, p in rows], pa.binary())], [*keys, "data"])
+            rows = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array([None if r[1] is None else codecs.decode(*r, permissive) for r in rows], pa.binary())], [*keys, "data"])
 
-    return pairs.mapInArrow(run, pairs.select(*keys).schema.add("data", "binary"))
+    return pairs.select(*keys, *names).mapInArrow(run, T.StructType([*pairs.select(*keys).schema.fields, T.StructField("data", T.BinaryType())]))
+
+
+def code_sizes(coded: DataFrame) -> DataFrame:
+    """(id columns ..., kind, payload_bytes, steps, copied_bytes) for codes (..., kind, codec, compressed, payload)."""
+    names = ["codec", "kind", "payload", "compressed"]
+    keys = coded.columns[:-4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+            found = [codecs.instructions(*r) for r in rows]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("kind"), *(pa.array(x, pa.int64()) for x in ([len(r[2]) for r in rows], [f[0] for f in found], [f[1] for f in found]))], [*keys, "kind", "payload_bytes", "steps", "copied_bytes"])
+
+    more = [T.StructField("kind", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("payload_bytes", "steps", "copied_bytes"))]
+    return coded.select(*keys, *names).mapInArrow(run, T.StructType([*coded.select(*keys).schema.fields, *more]))
 
 
 def build_store(chunks: DataFrame, members: DataFrame, codec: str = "gearword", compress: bool = False, held: DataFrame | None = None) -> DataFrame:
@@ -58,15 +76,42 @@ def build_store(chunks: DataFrame, members: DataFrame, codec: str = "gearword",
     return simple.unionByName(delta)
 
 
-def get(store: DataFrame, keys: DataFrame, codec: str = "gearword", compress: bool = False, missing: str = "null") -> DataFrame:
-    """(sha256, data) for keys (sha256): raw, or decoded against the parent; absent keys give null or raise."""
+def get(store: DataFrame, keys: DataFrame, missing: str = "null", permissive: bool = False) -> DataFrame:
+    """(sha256, data) for keys (sha256): raw, or decoded by the row's own codec against the parent; absent keys give null or raise."""
     raw = store.where("kind = 'simple'").select(F.col("sha256").alias("parent_sha256"), F.col("payload").alias("parent"))
-    found = keys.join(store.select("sha256", "kind", "parent_sha256", "payload"), "sha256", "left")
+    found = keys.join(store.select("sha256", "kind", "codec", "compressed", "parent_sha256", "payload"), "sha256", "left")
     if missing == "raise":
         found = found.withColumn("kind", F.when(F.col("kind").isNull(), F.raise_error(F.concat(F.lit("no such key: "), "sha256"))).otherwise(F.col("kind")))
-    here = found.where("kind is not null").join(raw, "parent_sha256", "left").select("sha256", "kind", "payload", "parent")
-    absent = found.where("kind is null").select("sha256", F.lit(None).cast("binary").alias("data"))
-    return decode_children(here, codec, compress).unionByName(absent)
+    plain = F.coalesce(F.col("kind") == "simple", F.lit(True))
+    coded = found.where(~plain).join(raw, "parent_sha256", "left").select("sha256", "kind", "codec", "compressed", "payload", "parent")
+    return decode_children(coded, permissive).unionByName(found.where(plain).select("sha256", F.col("payload").alias("data")))
+
+
+def empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], STORE)
+
+
+def clear(store: DataFrame) -> DataFrame:
+    """The store without its rows."""
+    return store.limit(0)
+
+
+def put(store: DataFrame, rows: DataFrame) -> DataFrame:
+    """The store with rows (sha256, data) stored raw under their keys, in place of what it held there.
+
+    Deltas against a chunk that is put anew are decoded first and stored raw, so they keep their data.
+    Of rows that repeat a key the one with the largest data counts.
+    """
+    new = rows.groupBy("sha256").agg(F.max("data").alias("payload"))
+    stale = store.where("parent_sha256 is not null and kind = 'delta'").join(new.select(F.col("sha256").alias("parent_sha256")), "parent_sha256", "left_semi")
+    old = store.join(new.select("sha256"), "sha256", "left_anti")
+    kept = old.join(stale.select("sha256"), "sha256", "left_anti").select(*store.columns)
+    freed = missing(new, stale.select("sha256"))
+    back = get(store, freed).join(store.select("sha256", "hash", "codec", "compressed"), "sha256").select("sha256", "hash", "codec", "compressed", F.col("data").alias("payload"))
+    put_ = new.select("sha256", F.lit(None).cast("long").alias("hash"), F.lit(None).cast("string").alias("codec"), F.lit(False).alias("compressed"), "payload").unionByName(back)
+    none = F.lit(None)
+    raw = put_.select("sha256", "hash", F.lit("simple").alias("kind"), none.cast("string").alias("parent_sha256"), none.cast("long").alias("ordinal"), "codec", "compressed", F.octet_length("payload").cast("long").alias("raw_length"), "payload")
+    return kept.unionByName(raw)
 
 
 def contains(store: DataFrame, keys: DataFrame) -> DataFrame:
@@ -79,8 +124,26 @@ def missing(store: DataFrame, keys: DataFrame) -> DataFrame:
 
 def restore(recipes: DataFrame, chunks: DataFrame) -> DataFrame:
     """(file_id, content) from recipes (file_id, seq, sha256) and chunks (sha256, data)."""
-    parts = recipes.join(chunks, "sha256").groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("parts"))
-    return parts.select("file_id", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, parts = None, []
+
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([file], kind), pa.array([b"".join(parts)], pa.binary())], ["file_id", "content"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for f, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if parts and f != file:
+                    yield whole()
+                    parts = []
+                file = f
+                parts.append(data)
+        if parts:
+            yield whole()
+
+    rows = recipes.join(chunks, "sha256").repartition("file_id").sortWithinPartitions("file_id", "seq").select("file_id", "data")
+    return rows.mapInArrow(run, T.StructType([recipes.schema["file_id"], T.StructField("content", T.BinaryType())]))
 
 
 def free_cells(hashes: list[int]) -> list[int]:

@@ -27,11 +27,13 @@ def local_session(cores: int = 8, partitions: int | None = None) -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Only where the setting is absent (tests on one machine) a local temporary
-    folder takes its place.
+    Only in local mode (tests on one machine) a temporary folder may take its place;
+    a cluster without the setting is an error, as its executors would each write to a disk of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="grainmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,6 +52,13 @@ def forget(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def holds_rows(spark: SparkSession, path: str) -> bool:
+    """Is there a folder with Parquet files at the path?"""
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.parquet")
+    found = files.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files)
+    return found is not None and len(found) > 0
+
+
 def _forget_quietly(spark: SparkSession, path: str) -> None:
     try:
         forget(spark, path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.operators import store
+from grainmill.session import holds_rows
 
 
 def add_batch(path: str, chunk: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
@@ -16,11 +17,8 @@ def add_batch(path: str, chunk: Callable[[DataFrame], DataFrame]) -> Callable[[D
     def run(files: DataFrame, batch: int) -> None:
         spark = files.sparkSession
         new = chunk(files).groupBy("sha256").agg(F.first("data").alias("data"))
-        try:
+        if holds_rows(spark, path):
             new = store.missing(spark.read.parquet(path), new)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         new.write.mode("append").parquet(path)
 
     return run

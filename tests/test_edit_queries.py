@@ -22,8 +22,8 @@ def test_turns_of_any_size(spark, tmp_path):
     spark.createDataFrame([(c, t, x) for (c, t), x in texts.items()], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     pairs = {k: (x.encode(), texts[k[0], k[1] - 1].encode()) for k, x in texts.items() if (k[0], k[1] - 1) in texts}
     want = {k: distance(*p) for k, p in pairs.items()}
-    found = {(r["conv_id"], r["turn"]): r["distance"] for r in catalogue.queries()["q_edit_distance_all"](spark, str(tmp_path)).collect()}
+    found = {(r["conv_id"], r["turn"]): r["distance"] for r in catalogue.queries()["q_edit_distance"](spark, str(tmp_path)).collect()}
     assert found == want
-    gates = {(r["conv_id"], r["turn"]): r["worth"] for r in catalogue.queries()["q_edit_gate_all"](spark, str(tmp_path)).collect()}
+    gates = {(r["conv_id"], r["turn"]): r["worth"] for r in catalogue.queries()["q_edit_gate"](spark, str(tmp_path)).collect()}
     assert gates == {k: abs(len(a) - len(b)) <= 4000 and 4 * want[k] + 4 <= len(a) for k, (a, b) in pairs.items()}
     assert gates[1, 1] and gates[2, 1] and not gates[1, 2]
