@@ -226,7 +226,8 @@ def near_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = settle(members.join(stars, "bucket"), "buckets")
     pairs = settle(shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    texts = settle(docs.select("row", "text").join(wanted, "row", "left_semi").select(F.col("row").alias("node"), "text"), "texts")
+    # a merge join at every size: the candidates grow with the documents, so a broadcast would not last
+    texts = settle(docs.select("row", "text").join(wanted.hint("merge"), "row", "left_semi").select(F.col("row").alias("node"), "text"), "texts")
     found = settle(confirm(pairs, texts, percent), "links")
     roots = settle(components(found), "roots")
     more = settle(_rest(shared.select("bucket", "node"), nodes, roots, texts, percent), "links")
