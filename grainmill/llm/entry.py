@@ -73,6 +73,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc_round_trip": """
+            with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+            r as (select page_id, octet_length(payload) as n, sha1(payload) as h, max(page_id) over (partition by payload) as newest from p)
+            select page_id, n::bigint as payload_bytes,
+                array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(h, 5 * (i // 4) + 1, 5))::bigint // (1 << (15 - 5 * (i % 4))::int)) % 32, 1)), '') as payload_digest,
+                case when page_id is not distinct from newest then 'response' else 'revisit' end as record_type, case when page_id is distinct from newest then newest end as refers_to from r""",
+        "op3_minhash_dedup": r"""
+            with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+            own as materialized (select row_number() over () as n, doc_id, case when len(w) = 0 then [] else
+                list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) end as shingles from t),
+            each as materialized (select n, len(shingles) as size, unnest(shingles) as shingle from own),
+            common as (select a.n as a, b.n as b, a.size + b.size as sizes, count(*) as c from each a join each b on a.shingle = b.shingle and a.n <> b.n group by all),
+            links as materialized (select a, b from common where 100 * c >= 75 * (sizes - c)),
+            reach as (select n, n as other from own union select reach.n, links.b from reach join links on links.a = reach.other),
+            least as (select reach.n, min(own.doc_id) as component_id from reach join own on own.n = reach.other group by 1)
+            select doc_id, len(shingles)::bigint as n_shingles, component_id, coalesce(doc_id = component_id, false) as kept from own join least using (n)""",
         "op5_exact_top_k": """
             with v as materialized (select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
                 where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),

@@ -394,8 +394,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from the archives of `pages`.
 
-    Null html is an empty payload. Rows that repeat a page_id, or have none, each are a record; a null page_id stays null
-    and is a response only where no equal payload has an id. Other columns are left aside, and an empty table gives an empty one.
+    Null html is an empty payload. Rows that repeat a page_id, or have none, each are a record; where payloads are equal,
+    all with the largest page_id are responses. A null page_id stays null and is a response only where no equal payload has an id. Other columns are left aside, and an empty table gives an empty one.
     """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
