@@ -570,6 +570,14 @@ def oracle_sql() -> dict[str, str]:
         "q_store_lookup": "select distinct sha256(text) as sha256, strlen(text)::bigint as n_bytes, sha256(text) as restored_sha256 from documents",
         "q_contains": "select distinct sha256(text) as sha256 from documents",
         "q_missing": "select sha256(html) as sha256 from pages where sha256(html) not in (select sha256(text) from documents)",
+        "q_free_cell": f"""with recursive {_POINTS}, seq as (select row_number() over (order by arrival) as rn, arrival, sim_hash % 97 as h from points),
+            probe as (select 0::bigint as rn, 0::bigint as cell, repeat('0', (select count(*) from points)::bigint + 98) as taken
+                union all select rn, cell, substr(taken, 1, cell) || '1' || substr(taken, cell + 2) from (
+                    select rn, case when down >= 0 and h - down < up - h then down else up end as cell, taken from (
+                        select s.rn, s.h, probe.taken, s.h + instr(substr(probe.taken, s.h + 1), '0') - 1 as up,
+                            case when contains(substr(probe.taken, 1, s.h + 1), '0') then s.h - instr(reverse(substr(probe.taken, 1, s.h + 1)), '0') + 1 else -1 end as down
+                        from probe join seq s on s.rn = probe.rn + 1)))
+            select arrival, h as sim_hash, cell from seq join probe using (rn)""",
         "q_incremental_ingest": _TEXT.format(key="file_id"),
         "q_rt_zstd": _TEXT.format(key="item_id"),
     }
