@@ -36,6 +36,8 @@ import pyarrow as pa
 import tokenizers
 from pyspark.sql import DataFrame
 
+from grainmill.llm.worker import text_slices, tidy
+
 #: White space of the normaliser: Unicode's property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 PIECE_CHARS = 1 << 20
@@ -326,12 +328,12 @@ def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     with open(tokenizer_path, "rb") as f:
         spec = f.read()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer_of(spec)
-        for batch in batches:
-            rows = [digest_text(tok, t or "") for t in batch.column(1).to_pylist()]
-            n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part in (x for batch in batches for x in text_slices(batch, "text")):
+            n, ids, text = zip(*[digest_text(tok, t or "") for t in part.column(1).to_pylist()], strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.components import components
 from grainmill.llm.words import U64, common, mix, shingle_sets
+from grainmill.llm.worker import tidy, tidy_group
 from grainmill.session import drop_settled, settle
 
 PERMUTATIONS, ROWS = 64, 4
@@ -72,6 +73,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+@tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.column(0)
@@ -97,6 +99,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -166,6 +169,7 @@ def _search(percent: int):
 
 
 def _settle_block(percent: int):
+    @tidy_group
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """Links, confirmed on full sets, that join components of a block pair."""
         bucket, i, j = (x.as_py() for x in key)

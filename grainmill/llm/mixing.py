@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.llm.words import U64, mix
+from grainmill.llm.worker import text_slices, tidy
 from grainmill.session import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -265,8 +266,13 @@ def _excerpt(text: str, ranges: list[tuple[int, int]], size: int) -> str:
             runs.append([lo, hi])
     if runs == [[0, size]]:
         return text
-    spans = [m.span() for m in _WORD.finditer(text)]
-    return "\n".join(text[spans[lo][0] : spans[hi - 1][1]] for lo, hi in runs)
+    words, at, out = _WORD.finditer(text), 0, []
+    for lo, hi in runs:
+        first = next(itertools.islice(words, lo - at, None))
+        last = next(itertools.islice(words, hi - lo - 2, None)) if hi - lo > 1 else first
+        out.append(text[first.start() : last.end()])
+        at = hi
+    return "\n".join(out)
 
 
 def _with_draws(docs: DataFrame, **options) -> DataFrame:
@@ -285,10 +291,11 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """
     schema = "doc_id long, text string, lang string, source string, n_chars long"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (x for batch in batches for x in text_slices(batch, "text")):
             out = []
-            for d in batch.to_pylist():
+            for d in part.to_pylist():
                 for p in sorted({x["pass"] for x in d["__draws"]}):
                     text = _excerpt(d["text"], [(x["from_word"], x["to_word"]) for x in d["__draws"] if x["pass"] == p], d["__size"])
                     out.append({"doc_id": d["doc_id"], "text": text, "lang": d["lang"], "source": d["source"], "n_chars": d["n_chars"] if text == d["text"] else len(text)})
@@ -304,9 +311,10 @@ def mix_blocks(docs: DataFrame, shards: int = 64, **options) -> DataFrame:
     """
     schema = "shard int, at long, doc_id long, text string"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [{"shard": x["shard"], "at": x["at"], "doc_id": d["doc_id"], "text": _excerpt(d["text"], [(x["from_word"], x["to_word"])], d["__size"])} for d in batch.to_pylist() for x in d["__draws"]]
+        for part in (x for batch in batches for x in text_slices(batch, "text")):
+            out = [{"shard": x["shard"], "at": x["at"], "doc_id": d["doc_id"], "text": _excerpt(d["text"], [(x["from_word"], x["to_word"])], d["__size"])} for d in part.to_pylist() for x in d["__draws"]]
             yield pa.RecordBatch.from_pylist(out, pa.schema([("shard", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())]))
 
     rows = _with_draws(docs.select("doc_id", "text", "source"), shards=shards, **options).mapInArrow(run, schema)
