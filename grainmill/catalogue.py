@@ -72,8 +72,8 @@ def q_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content-defined chunks joined again: every file has its bytes."""
-    chunks = chunking.content_chunks(files(spark, sf_dir), *CHUNKS)
-    whole = store.restore(chunks.select("file_id", "seq", "sha256"), chunks.select("sha256", "data").dropDuplicates(["sha256"]))
+    chunks = chunking.content_chunks(files(spark, sf_dir), *CHUNKS, bare=True)
+    whole = store.restore(chunks.select("file_id", "seq", "sha256"), chunks.select("sha256", "data").where("length(data) > 0").dropDuplicates(["sha256"]))
     return whole.select("file_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 

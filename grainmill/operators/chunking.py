@@ -40,9 +40,13 @@ def bounded_cuts(data: bytes, least: int, mean: int, most: int) -> list[int]:
     return starts
 
 
-def content_chunks(files: DataFrame, least: int = MIN_SIZE, mean: int = AVG_SIZE, most: int = MAX_SIZE, kind: str = "long") -> DataFrame:
-    """file_id (of the type `kind`), seq, offset, length, data, sha256 of content-defined chunks."""
-    return _cut(files, lambda x: bounded_cuts(x, least, mean, most) if x else [], kind)
+def content_chunks(files: DataFrame, least: int = MIN_SIZE, mean: int = AVG_SIZE, most: int = MAX_SIZE, kind: str = "long", bare: bool = False) -> DataFrame:
+    """file_id (of the type `kind`), seq, offset, length, data, sha256 of content-defined chunks.
+
+    A file without bytes has no chunk; bare: it has one row of length 0 all the same, with its content, empty or null, as
+    data, so that recipes made of these rows name every file.
+    """
+    return _cut(files, lambda x: bounded_cuts(x, least, mean, most) if x else [], kind, bare)
 
 
 def gear_pieces(files: DataFrame, bits: int) -> DataFrame:
@@ -50,11 +54,13 @@ def gear_pieces(files: DataFrame, bits: int) -> DataFrame:
     return _cut(files, lambda x: sorted({0, *gear_cuts(x, bits).tolist()}) if x else [])
 
 
-def _cut(files: DataFrame, starts_of, kind: str = "long") -> DataFrame:
+def _cut(files: DataFrame, starts_of, kind: str = "long", bare: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, data in enumerate(batch.column(1).to_pylist()):
                 starts = list(starts_of(data or b""))
+                if bare and not data:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([0], pa.int64()) for _ in range(3)), pa.array([data], pa.binary())], ["file_id", "seq", "offset", "length", "data"])
                 if starts:
                     ends = [*starts[1:], len(data)]
                     n = len(starts)

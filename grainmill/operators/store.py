@@ -7,16 +7,18 @@ A file is put together from its sorted chunks in one pass; as one value it must
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainmill.operators import codecs
 
 STORE = "sha256 string, hash long, kind string, parent_sha256 string, ordinal long, codec string, compressed boolean, raw_length long, payload binary"
+EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def encode_children(pairs: DataFrame, codec: str, compress: bool = False) -> DataFrame:
@@ -122,14 +124,19 @@ def missing(store: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(store.select("sha256"), "sha256", "left_anti")
 
 
+def bare() -> Column:
+    """Does a recipe's row stand for a file without bytes, empty or null? No chunk belongs to it."""
+    return F.col("sha256").isNull() | (F.col("sha256") == EMPTY)
+
+
 def restore(recipes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file_id, content) from recipes (file_id, seq, sha256) and chunks (sha256, data)."""
+    """(file_id, content) from recipes (file_id, seq, sha256) and chunks (sha256, data); rows of files without bytes need none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, parts = None, []
 
         def whole() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([file], kind), pa.array([b"".join(parts)], pa.binary())], ["file_id", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([file], kind), pa.array([None if parts == [None] else b"".join(parts)], pa.binary())], ["file_id", "content"])
 
         for batch in batches:
             kind = batch.column(0).type
@@ -142,7 +149,9 @@ def restore(recipes: DataFrame, chunks: DataFrame) -> DataFrame:
         if parts:
             yield whole()
 
-    rows = recipes.join(chunks, "sha256").repartition("file_id").sortWithinPartitions("file_id", "seq").select("file_id", "data")
+    nothing = recipes.where(bare()).select("file_id", "seq", F.when(F.col("sha256").isNotNull(), F.lit(b"")).alias("data"))
+    rows = recipes.where(~bare()).join(chunks, "sha256").select("file_id", "seq", "data").unionByName(nothing)
+    rows = rows.repartition("file_id").sortWithinPartitions("file_id", "seq").select("file_id", "data")
     return rows.mapInArrow(run, T.StructType([recipes.schema["file_id"], T.StructField("content", T.BinaryType())]))
 
 
