@@ -412,7 +412,7 @@ def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     add(docs.where("file_id % 2 = 0"), 0)
     add(docs, 1)
     chunks = spark.read.parquet(path)
-    recipes = chunking.content_chunks(docs, *CHUNKS).select("file_id", "seq", "sha256")
+    recipes = chunking.content_chunks(docs, *CHUNKS, bare=True).select("file_id", "seq", "sha256")
     whole = settle(store.restore(recipes, chunks).select("file_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256")), "ingested")
     forget(spark, path)
     return whole
