@@ -324,7 +324,7 @@ def q_mixed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, codec in enumerate(coded):
         plan = SimilarityPipeline(sizes=CHUNKS, clusterer="equal", codec=codec, compress=k % 2 == 1)
         parts.append(plan.scrub(docs.where(F.col("file_id") % len(coded) == k)))
-    chunks = [store.get(kept, recipes.select("sha256").distinct(), "raise") for kept, recipes in parts]
+    chunks = [store.get(kept, recipes.where(~store.bare()).select("sha256").distinct(), "raise") for kept, recipes in parts]
     whole = reduce(DataFrame.unionByName, chunks).groupBy("sha256").agg(F.max("data").alias("data"))
     recipes = reduce(DataFrame.unionByName, [r for _, r in parts])
     return store.restore(recipes, whole).select("file_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))

@@ -17,6 +17,6 @@ def bare_dir(spark, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["q_content_chunks", "q_incremental_ingest", "q_restore_documents", "q_stored_files", "q_incremental_scrub", "q_gear_chunks"])
+@pytest.mark.parametrize("name", ["q_content_chunks", "q_incremental_ingest", "q_restore_documents", "q_stored_files", "q_incremental_scrub", "q_mixed_store", "q_gear_chunks"])
 def test_matches_sql(spark, bare_dir, name):
     assert_matches(spark, bare_dir, catalogue.queries()[name], catalogue.oracle_sql()[name])
