@@ -395,13 +395,7 @@ def q_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_free_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of raw chunks whose hashes collide, in order of arrival."""
-    hashes = points(spark, sf_dir).select("arrival", (F.col("sim_hash") % 97).alias("sim_hash"))
-
-    def probe(pdf):
-        pdf = pdf.sort_values("arrival")
-        return pdf.assign(cell=store.free_cells(pdf["sim_hash"].tolist()))
-
-    return hashes.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: probe(pdf)[["arrival", "sim_hash", "cell"]], "arrival long, sim_hash long, cell long")
+    return store.place(points(spark, sf_dir).select("arrival", (F.col("sim_hash") % 97).alias("sim_hash")))
 
 
 def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ A file is put together from its sorted chunks in one pass; as one value it must
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -155,17 +156,85 @@ def restore(recipes: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([recipes.schema["file_id"], T.StructField("content", T.BinaryType())]))
 
 
+class Cells:
+    """Taken cells as runs without a gap: a run's first and last cell know each other, and first cells are sorted within spans of cells.
+
+    Memory goes with the runs, time with the cells asked for, however long the runs are.
+    """
+
+    SPAN_BITS, LAST = 16, 0xFFFFFFFF
+
+    def __init__(self):
+        self.ends: dict[int, int] = {}
+        self.firsts: dict[int, int] = {}
+        self.spans: dict[int, list[int]] = {}
+        self.order: list[int] = []
+
+    def _run(self, cell: int) -> tuple[int, int] | None:
+        """First and last cell of the run that holds the cell."""
+        if cell in self.ends:
+            return cell, self.ends[cell]
+        span = cell >> self.SPAN_BITS
+        firsts = self.spans.get(span, ())
+        k = bisect_right(firsts, cell)
+        if not k:
+            at = bisect_left(self.order, span)
+            if not at:
+                return None
+            firsts = self.spans[self.order[at - 1]]
+            k = len(firsts)
+        first = firsts[k - 1]
+        return (first, self.ends[first]) if self.ends[first] >= cell else None
+
+    def _drop(self, first: int) -> None:
+        span = first >> self.SPAN_BITS
+        firsts = self.spans[span]
+        del firsts[bisect_left(firsts, first)]
+        if not firsts:
+            del self.spans[span]
+            del self.order[bisect_left(self.order, span)]
+
+    def _add(self, first: int) -> None:
+        span = first >> self.SPAN_BITS
+        if span not in self.spans:
+            self.spans[span] = []
+            insort(self.order, span)
+        insort(self.spans[span], first)
+
+    def take(self, cell: int) -> int:
+        """The cell, or the nearest free one, the upper one in a tie; it is taken from now on."""
+        run = self._run(cell)
+        if run is not None:
+            down, up = run[0] - 1, run[1] + 1
+            if down < 0 and up > self.LAST:
+                raise ValueError("no free cell")
+            cell = down if up > self.LAST or (down >= 0 and cell - down < up - cell) else up
+        first, last = self.firsts.pop(cell - 1, cell), cell
+        if cell + 1 in self.ends:
+            last = self.ends.pop(cell + 1)
+            self._drop(cell + 1)
+        if first == cell:
+            self._add(cell)
+        self.ends[first], self.firsts[last] = last, first
+        return cell
+
+
 def free_cells(hashes: list[int]) -> list[int]:
     """The cell of each raw chunk: its hash, or the nearest free one, probing h + 1, h - 1, h + 2, ..."""
-    taken: set[int] = set()
-    out = []
-    for h in hashes:
-        k, cell = 0, h
-        while cell in taken:
-            k += 1
-            for cell in (min(h + k, 0xFFFFFFFF), max(h - k, 0)):
-                if cell not in taken:
-                    break
-        taken.add(cell)
-        out.append(cell)
-    return out
+    cells = Cells()
+    return [cells.take(h) for h in hashes]
+
+
+def place(hashed: DataFrame) -> DataFrame:
+    """Adds the cell to rows (arrival, sim_hash), which take theirs in order of arrival.
+
+    Each cell depends on all before it, so one task folds the rows, of two numbers each; it sorts them as Spark does, beyond
+    memory on disk, and holds one batch and the runs of taken cells.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = Cells()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([cells.take(h) for h in batch.column(1).to_pylist()], pa.int64())], ["arrival", "sim_hash", "cell"])
+
+    return hashed.select("arrival", "sim_hash").repartition(1).sortWithinPartitions("arrival").mapInArrow(run, "arrival long, sim_hash long, cell long")
