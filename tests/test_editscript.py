@@ -40,3 +40,28 @@ def test_scripts_are_shortest():
 
 def test_unlike_pairs_stay_raw():
     assert codecs.encode("editscript", rnd.randbytes(16384), rnd.randbytes(16384))[0] == "simple"
+
+
+def test_few_edits_of_a_large_text():
+    """The time goes with the edits, and the script is the one that the whole matrix gives."""
+    import math
+    import random
+    import time
+
+    rnd = random.Random(4)
+    for size in (4, 17, 60, 400, 3000):
+        for _ in range(40):
+            parent = bytes(rnd.choice(b"ab") for _ in range(size))
+            child = bytearray(parent)
+            for _ in range(rnd.randrange(1, 9)):
+                at = rnd.randrange(len(child) + 1)
+                child[at : at + rnd.randrange(2)] = bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(2)))
+            child = bytes(child)
+            reached = codecs._furthest(parent, child, math.inf)
+            edits, i, j = codecs._few_edits(parent, child, reached)
+            many, k, m = codecs._many_edits(parent, child, 1 << 30, 0)
+            assert [a << 30 | b << 22 | at for a, b, at in edits] == many and (i, j) == (k, m) and len(edits) + i + j == len(reached) - 1
+    large = rnd.randbytes(400_000)
+    began = time.perf_counter()
+    assert len(codecs.encode_editscript(b"\x01" + large[1:200_000] + large[200_001:] + b"\x02", large)) <= 12
+    assert time.perf_counter() - began < 3
