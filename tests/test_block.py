@@ -36,3 +36,15 @@ def test_equals_all_places():
         parent, child = b"".join(runs[:6]), b"".join(rnd.sample(runs, 6))
         code = codecs.encode_block(child, parent)
         assert code == plain(child, parent) and codecs.decode_copies(parent, code) == child
+
+
+def test_a_parent_is_indexed_in_little_memory():
+    """Words are sorted numbers, not an object for each place, and what is held is no more than the last parent's."""
+    import tracemalloc
+
+    parent = rnd.randbytes(200_000)
+    tracemalloc.start()
+    codecs.encode_block(parent[5000:] + parent[:5000], parent)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 1_000_000 and peak < 100 * len(parent)
