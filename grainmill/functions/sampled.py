@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from grainmill.batches import map_batches
 from grainmill.functions.gear import rolling
 
 #: The multipliers of the three features: the first 16 hex digits of the SHA-256 of "feature 0" and so on, made odd.
@@ -44,7 +45,7 @@ def with_sketch(items: DataFrame, content: str = "content", bits: int = 7) -> Da
             found = [None if x is None else sketch(x, bits) for x in batch.column(content).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "features"])
 
-    return items.mapInArrow(run, T.StructType([*items.schema.fields, T.StructField("features", T.ArrayType(T.LongType()))]))
+    return map_batches(items, run, T.StructType([*items.schema.fields, T.StructField("features", T.ArrayType(T.LongType()))]))
 
 
 def with_neighbours(items: DataFrame) -> DataFrame:
@@ -59,4 +60,4 @@ def with_neighbours(items: DataFrame) -> DataFrame:
             cols = [pa.array([[signed(d) for d in f[k]] if f else None for f in found], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "next", "last"])
 
-    return items.mapInArrow(run, T.StructType([*items.schema.fields, *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("next", "last"))]))
+    return map_batches(items, run, T.StructType([*items.schema.fields, *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("next", "last"))]))

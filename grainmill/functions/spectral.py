@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainmill.batches import map_batches
+
 # Fixed values of the hash.
 C_BLOCKS, C_LEAST_GAP, C_LEAST_COUNT = 8, 1, 50
 F_BITS, F_SHIFTS = 3, (0, 0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 6)
@@ -97,7 +99,7 @@ def with_spectra(items: DataFrame, content: str = "content") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *names])
 
     schema = T.StructType([*items.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
-    return items.mapInArrow(run, schema)
+    return map_batches(items, run, schema)
 
 
 def _histogram(items: DataFrame, keys: list[str], count, schema: str) -> DataFrame:
@@ -111,7 +113,7 @@ def _histogram(items: DataFrame, keys: list[str], count, schema: str) -> DataFra
             value, n = (np.concatenate([f[k] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([*own, pa.array(value), pa.array(n)], [*keys, "value", "n"])
 
-    return items.mapInArrow(run, schema)
+    return map_batches(items, run, schema)
 
 
 def byte_counts(items: DataFrame) -> DataFrame:

@@ -9,9 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.batches import BATCH_BYTES, map_batches
 from grainmill.functions.gear import rolling
 
 MIN_SIZE, AVG_SIZE, MAX_SIZE = 2 << 10, 8 << 10, 16 << 10
+#: Bytes that are hashed at once.
+BLOCK = 1 << 20
 
 
 def fixed_chunks(files: DataFrame, size: int) -> DataFrame:
@@ -23,8 +26,12 @@ def fixed_chunks(files: DataFrame, size: int) -> DataFrame:
 
 def gear_cuts(data: bytes, bits: int) -> np.ndarray:
     """Positions before which a rolling hash over the last `bits` bytes has only its top bit set."""
-    fp = rolling(np.frombuffer(data, np.uint8), bits) & np.uint64((1 << bits) - 1)
-    return np.flatnonzero(fp == np.uint64(1 << bits - 1))
+    raw, found = np.frombuffer(data, np.uint8), [np.zeros(0, np.int64)]
+    for at in range(0, len(raw), BLOCK):
+        ahead = min(at, bits - 1)
+        fp = rolling(raw[at - ahead : at + BLOCK], bits)[ahead:] & np.uint64((1 << bits) - 1)
+        found.append(np.flatnonzero(fp == np.uint64(1 << bits - 1)) + at)
+    return np.concatenate(found)
 
 
 def bounded_cuts(data: bytes, least: int, mean: int, most: int) -> list[int]:
@@ -55,18 +62,37 @@ def gear_pieces(files: DataFrame, bits: int) -> DataFrame:
 
 
 def _cut(files: DataFrame, starts_of, kind: str = "long", bare: bool = False) -> DataFrame:
+    names = ["file_id", "seq", "offset", "length", "data"]
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes | None]]:
+        """Row of the file, number of the chunk, offset and data."""
+        for i, content in enumerate(batch.column(1)):
+            data = memoryview(content.as_buffer()) if content.is_valid else b""
+            starts = list(starts_of(data)) if len(data) else []
+            for seq, (x, y) in enumerate(zip(starts, [*starts[1:], len(data)], strict=True) if starts else ()):
+                yield i, seq, x, bytes(data[x:y])
+            if bare and not starts:
+                yield i, 0, 0, b"" if content.is_valid else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data in enumerate(batch.column(1).to_pylist()):
-                starts = list(starts_of(data or b""))
-                if bare and not data:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([0], pa.int64()) for _ in range(3)), pa.array([data], pa.binary())], ["file_id", "seq", "offset", "length", "data"])
-                if starts:
-                    ends = [*starts[1:], len(data)]
-                    n = len(starts)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * n)), pa.array(range(n), pa.int64()), pa.array(starts, pa.int64()), pa.array([b - a for a, b in zip(starts, ends, strict=True)], pa.int64()), pa.array([data[a:b] for a, b in zip(starts, ends, strict=True)], pa.binary())], ["file_id", "seq", "offset", "length", "data"])
-
-    return files.select("file_id", "content").mapInArrow(run, f"file_id {kind}, seq long, offset long, length long, data binary").withColumn("sha256", F.sha2("data", 256))
+            held, size = [], 0
+
+            def made(held: list) -> pa.RecordBatch:
+                files, seqs, offsets, data = zip(*held, strict=True)
+                numbers = (seqs, offsets, [len(x or b"") for x in data])
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(files, pa.int64())), *(pa.array(x, pa.int64()) for x in numbers), pa.array(data, pa.binary())], names)  # noqa: B023
+
+            for row in rows(batch):
+                held.append(row)
+                size += len(row[3] or b"")
+                if size >= BATCH_BYTES:
+                    yield made(held)
+                    held, size = [], 0
+            if held:
+                yield made(held)
+
+    return map_batches(files.select("file_id", "content"), run, f"file_id {kind}, seq long, offset long, length long, data binary").withColumn("sha256", F.sha2("data", 256))
 
 
 def unique_chunks(chunks: DataFrame) -> DataFrame:
