@@ -29,3 +29,15 @@ def test_codes_of_a_batch(rows, codec):
     coded = store.encode_children(rows, codec)
     sizes = [r.n for r in coded.mapInArrow(run, "n long").collect()]
     assert sum(sizes) == 4000 and max(sizes) * SIZE <= BATCH_BYTES + 2 * SIZE
+
+
+def test_cuts_of_a_large_file():
+    """The hash of a file is taken by blocks, whatever its size, with the same cuts."""
+    data = random.Random(2).randbytes(5 * chunking.BLOCK + 77)
+    whole = [int(x) for x in chunking.np.flatnonzero((chunking.rolling(chunking.np.frombuffer(data, chunking.np.uint8), 13) & chunking.np.uint64(8191)) == chunking.np.uint64(4096))]
+    tracemalloc.start()
+    cuts = chunking.gear_cuts(data, 13)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert cuts.tolist() == whole and len(whole) > 100
+    assert peak < 8 * len(data)
