@@ -18,7 +18,7 @@ def rows(spark):
     return spark.range(4000).select(F.col("id").alias("item_id"), F.expr(f"cast(repeat('x', {SIZE}) as binary)").alias("child"), F.expr(f"cast(repeat('y', {SIZE}) as binary)").alias("parent")).coalesce(1)
 
 
-@pytest.mark.parametrize("codec", ["gearword"])
+@pytest.mark.parametrize("codec", ["gearword", "editscript"])
 def test_codes_of_a_batch(rows, codec):
     """What goes through an encoder, here as the data itself, and comes out again is in batches of about BATCH_BYTES."""
 
