@@ -31,6 +31,14 @@ def test_codes_of_a_batch(rows, codec):
     assert sum(sizes) == 4000 and max(sizes) * SIZE <= BATCH_BYTES + 2 * SIZE
 
 
+def test_found_rows(spark, rows):
+    """The same for keys that are looked up in a store."""
+    kept = rows.select(F.sha2(F.concat("child", F.col("item_id").cast("string").cast("binary")), 256).alias("sha256"), F.lit(1).cast("long").alias("hash"), F.lit("simple").alias("kind"), F.lit(None).cast("string").alias("parent_sha256"), F.lit(None).cast("long").alias("ordinal"), F.lit("gearword").alias("codec"), F.lit(False).alias("compressed"), F.lit(SIZE).cast("long").alias("raw_length"), F.col("child").alias("payload"))
+    found = store.get(kept, kept.select("sha256"))
+    assert found.count() == 4000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == BATCH_BYTES
+
+
 def test_cuts_of_a_large_file():
     """The hash of a file is taken by blocks, whatever its size, with the same cuts."""
     data = random.Random(2).randbytes(5 * chunking.BLOCK + 77)
