@@ -49,3 +49,10 @@ def test_cuts_of_a_large_file():
     tracemalloc.stop()
     assert cuts.tolist() == whole and len(whole) > 100
     assert peak < 8 * len(data)
+
+
+def test_words_of_one_parent_are_held():
+    codecs._word_index.cache_clear()
+    for k in range(4):
+        codecs.encode_gearword(bytes(100), bytes([k]) * 5000)
+    assert codecs._word_index.cache_info().currsize == 1
