@@ -108,11 +108,14 @@ def put(store: DataFrame, rows: DataFrame) -> DataFrame:
     Of rows that repeat a key the one with the largest data counts.
     """
     new = rows.groupBy("sha256").agg(F.max("data").alias("payload"))
-    stale = store.where("parent_sha256 is not null and kind = 'delta'").join(new.select(F.col("sha256").alias("parent_sha256")), "parent_sha256", "left_semi")
-    old = store.join(new.select("sha256"), "sha256", "left_anti")
-    kept = old.join(stale.select("sha256"), "sha256", "left_anti").select(*store.columns)
-    freed = missing(new, stale.select("sha256"))
-    back = get(store, freed).join(store.select("sha256", "hash", "codec", "compressed"), "sha256").select("sha256", "hash", "codec", "compressed", F.col("data").alias("payload"))
+    keys = new.select("sha256")
+    stale = store.where("parent_sha256 is not null and kind = 'delta'").join(keys.withColumnRenamed("sha256", "parent_sha256"), "parent_sha256", "left_semi")
+    kept = store.join(keys.unionByName(stale.select("sha256")), "sha256", "left_anti").select(*store.columns)
+    # only deltas and the chunks put anew that they were made against are looked at again
+    parents = store.where("kind = 'simple'").select(F.col("sha256").alias("parent_sha256"), F.col("payload").alias("parent"))
+    freed = missing(keys, stale.select("sha256", "hash", "kind", "codec", "compressed", "parent_sha256", "payload")).join(parents, "parent_sha256", "left")
+    back = decode_children(freed.select("sha256", "hash", F.col("codec").alias("_codec"), F.col("compressed").alias("_compressed"), "kind", "codec", "compressed", "payload", "parent"))
+    back = back.select("sha256", "hash", F.col("_codec").alias("codec"), F.col("_compressed").alias("compressed"), F.col("data").alias("payload"))
     put_ = new.select("sha256", F.lit(None).cast("long").alias("hash"), F.lit(None).cast("string").alias("codec"), F.lit(False).alias("compressed"), "payload").unionByName(back)
     none = F.lit(None)
     raw = put_.select("sha256", "hash", F.lit("simple").alias("kind"), none.cast("string").alias("parent_sha256"), none.cast("long").alias("ordinal"), "codec", "compressed", F.octet_length("payload").cast("long").alias("raw_length"), "payload")
