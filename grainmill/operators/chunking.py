@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +37,11 @@ def gear_cuts(data: bytes, bits: int) -> np.ndarray:
 
 def bounded_cuts(data: bytes, least: int, mean: int, most: int) -> list[int]:
     """Chunk starts where chunks but the last have `least` to `most` bytes, about `mean`."""
-    cuts = gear_cuts(data, max(1, (max(2, mean - least)).bit_length() - 1))
+    cuts = gear_cuts(data, max(1, (max(2, mean - least)).bit_length() - 1)).tolist()
     starts, n = [0], len(data)
     while n - starts[-1] > least:
-        k = int(np.searchsorted(cuts, starts[-1] + least))
-        at = min(int(cuts[k]) if k < len(cuts) else n, starts[-1] + most)
+        k = bisect_left(cuts, starts[-1] + least)
+        at = min(cuts[k] if k < len(cuts) else n, starts[-1] + most)
         if at >= n:
             break
         starts.append(at)
