@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from grainmill.operators import codecs
 
 rnd = random.Random(11)
@@ -78,3 +80,26 @@ def test_few_places_are_compared(monkeypatch):
     kind, code = codecs.encode("lz_raw", child, parent)
     assert kind == "delta" and codecs.decode("lz_raw", kind, code, parent) == child
     assert len(runs) < len(code) // 2
+
+
+def _declines(monkeypatch, codec):
+    """A text with next to nothing in common with its parent is given up when its code can't be shorter any more, not at its end."""
+    child, parent = (bytes(rnd.choice(range(256)) for _ in range(20_000)) for _ in range(2))
+    taken, symbols = [], codecs.lz_symbols
+
+    def counted(c, p, most=None):
+        try:
+            return symbols(c, p, most)
+        except codecs.RawFallback:
+            taken.append(most)
+            raise
+
+    monkeypatch.setattr(codecs, "lz_symbols", counted)
+    assert codecs.encode(codec, child, parent) == ("simple", child)
+    assert taken and taken[0] < len(symbols(child, parent))
+    with pytest.raises(codecs.RawFallback):
+        symbols(child, parent, 100)
+
+
+def test_packed_code_declines(monkeypatch):
+    _declines(monkeypatch, "lz")
