@@ -103,3 +103,7 @@ def _declines(monkeypatch, codec):
 
 def test_packed_code_declines(monkeypatch):
     _declines(monkeypatch, "lz")
+
+
+def test_plain_code_declines(monkeypatch):
+    _declines(monkeypatch, "lz_raw")
